@@ -73,7 +73,7 @@ def word_counts(docs: DataFrame, vocabulary: list[str], text_col: str = "text")
     return {r["w"]: r["n"] for r in own.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def scan(docs: DataFrame, text_col: str = "text", threshold: float = 0.85, density: float = 0.25, templates=TEMPLATES) -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", threshold: float = 0.9, density: float = 0.25, templates=TEMPLATES) -> DataFrame:
     """``docs`` with one more column, ``license``: n_words, places of base phrases, labels and score."""
     sets = [(label, _words(t)) for label, t in templates]
     vocabulary = sorted({w for _, t in sets for w in t})
