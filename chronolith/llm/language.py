@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.llm.store import small_batches
+
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 CHUNK = 1 << 20  # bytes scored at once
@@ -122,6 +124,7 @@ class Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", sample: int = 2000) -> Model:
     """From labelled rows; the caller leaves out those that are held back."""
+    small_batches(docs.sparkSession)
     labelled = docs.filter(docs[lang_col].isNotNull() & docs[text_col].isNotNull())
     held = {r[0]: r["count"] for r in labelled.groupBy(lang_col).count().collect()}  # one row for each language
     parts = 1_000_000
@@ -135,6 +138,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_co
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, bits_per_byte) of every row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # symbols cubed times languages, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,17 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import licenses, quality, sharding
+from chronolith.llm import language, licenses, lines, maintext, ngramjoin, pieces, quality, secrets, sharding, tiling
 from chronolith.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    found = ngramjoin.grouped(table(spark, d, "documents").select("doc_id", "text"), n=4, percent=85)
+    return found.withColumnRenamed("n_members", "n_shingles")
+
+
 def op2_sharding(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     return sharding.assign(docs, shards=24).withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op3_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    found = secrets.scan(table(spark, d, "documents").select("doc_id", "text"))
+    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    return found.select("doc_id", *n, F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
+
+
+def op4_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    """Every document that covers half of a benchmark item or more, with the item."""
+    return tiling.match(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+
+
+def op5_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return lines.dedup(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def op6_main_text(spark: SparkSession, d: str) -> DataFrame:
+    out = maintext.extract(table(spark, d, "pages").select("page_id", "url", "html"))
+    return out.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op7_license_scan(spark: SparkSession, d: str) -> DataFrame:
     docs = licenses.scan(table(spark, d, "documents").select("doc_id", "text"))
     x = F.col("license")
@@ -30,13 +55,25 @@ def op7_license_scan(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = language.fit(docs.filter(~held_out))
+    return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op9_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
     return quality.assess(docs).drop("text_hash")
 
 
+def op10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    out = pieces.encode(table(spark, d, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), "lossless", "pieces")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sharding, op7_license_scan, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op3_secret_scan, op4_decontamination, op5_line_dedup, op6_main_text, op7_license_scan, op8_language_id, op9_quality_rules, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:

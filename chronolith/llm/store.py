@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,15 +26,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Written once and read back: cuts the lineage, survives the loss of executors, is computed once."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    released(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Removes a table that ``saved`` wrote, once no plan reads it."""
-    spark = df.sparkSession
-    for f in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def released(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def ascii_lower(c: Column) -> Column:
@@ -45,5 +45,15 @@ def bind(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def small_batches(spark: SparkSession, most: str = "16m") -> None:
+    """Batches for Python of so many bytes at most, as rows hold whole texts.  A session with a smaller bound keeps it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).lower()
+    digits = now.rstrip("bkmgt")
+    size = int(digits or -1) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}.get(now.rstrip("b")[-1:], 1)
+    if not 0 < size <= 16 << 20:
+        spark.conf.set(key, most)
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
