@@ -52,7 +52,7 @@ TEMPLATES = (
 )
 
 
-def _words(s: str) -> list[str]:
+def word_list(s: str) -> list[str]:
     return list(dict.fromkeys(w for w in re.split("[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", s.lower()) if w))
 
 
@@ -75,7 +75,7 @@ def word_counts(docs: DataFrame, vocabulary: list[str], text_col: str = "text")
 
 def scan(docs: DataFrame, text_col: str = "text", threshold: float = 0.9, density: float = 0.25, templates=TEMPLATES) -> DataFrame:
     """``docs`` with one more column, ``license``: n_words, places of base phrases, labels and score."""
-    sets = [(label, _words(t)) for label, t in templates]
+    sets = [(label, word_list(t)) for label, t in templates]
     vocabulary = sorted({w for _, t in sets for w in t})
     held = word_counts(docs, vocabulary, text_col)
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (held.get(w, 0), w)))}

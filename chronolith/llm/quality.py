@@ -8,10 +8,10 @@ removed from every document of the host but the earliest that holds it; a
 document that loses more than ``max_lost`` of its words so is depleted, and
 rejected.
 
-Null text counts as empty, a null host is a host of its own, and each row
-counts as a document.  Nothing is capped: a line's documents are counted by
-partial sums, so a line that a third of all rows hold costs one row for each
-task.
+Null text counts as empty, and a null host is a host of its own.  Rows equal in
+id, host and text are one document.
+Nothing is capped: a line's documents are counted by partial sums, so a line
+that a third of all rows hold costs one row for each task.
 """
 
 from __future__ import annotations
@@ -73,14 +73,13 @@ def counts(docs: DataFrame, text_col: str = "text") -> dict[str, Column]:
 
 
 def _own_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """One row for each document and distinct line: key, words of all its copies in the document."""
+    """One row for each document and distinct normalised line, with the words of all its places."""
     text = F.coalesce(docs[text_col], F.lit(""))
     norm = F.regexp_replace(ascii_lower(F.btrim(F.col("line"), F.lit(SPACES))), SPACE_RUN, " ")
     n_words = F.length(F.col("norm")) - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) + 1
-    exploded = docs.select(
-        docs[id_col].alias("doc_id"), docs[host_col].alias("host"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.array_distinct(_lines(text))).alias("pos", "line")
-    ).withColumn("norm", norm)
-    return exploded.select("doc_id", "host", "text_hash", "pos", F.xxhash64("norm").alias("h1"), F.crc32("norm").alias("h2"), n_words.alias("words"))
+    each = docs.select(docs[id_col].alias("doc_id"), docs[host_col].alias("host"), F.xxhash64(text).alias("text_hash"), F.explode(_lines(text)).alias("line")).withColumn("norm", norm)
+    keyed = each.select("doc_id", "host", "text_hash", F.xxhash64("norm").alias("h1"), F.crc32("norm").alias("h2"), n_words.cast("bigint").alias("words"))
+    return keyed.groupBy("doc_id", "host", "text_hash", "h1", "h2").agg(F.sum("words").alias("words"))
 
 
 def line_limits(lines: DataFrame, docs: DataFrame, host_col: str, min_docs: int, share: float) -> DataFrame:
@@ -107,9 +106,10 @@ def assess(
     limits = line_limits(lines, docs, host_col, min_docs, share).withColumnsRenamed({"host": "k", "h1": "k1", "h2": "k2"})
     hits = lines.join(limits, lines["host"].eqNullSafe(limits["k"]) & (lines["h1"] == limits["k1"]) & (lines["h2"] == limits["k2"]))
     hits = hits.filter(~F.col("doc_id").eqNullSafe(F.col("holder")))
-    # Repeated rows bring each of their lines several times: counted once by position.
-    lost = hits.groupBy("doc_id", "text_hash").agg((F.sum("words") * F.size(F.collect_set("pos")) / F.count(F.lit(1))).cast("bigint").alias("lost"))
-    lost = lost.withColumnsRenamed({"doc_id": "k", "text_hash": "th"})
+    lost = hits.groupBy("doc_id", "text_hash").agg(F.sum("words").alias("lost"))
+    same = docs.groupBy(docs[id_col].alias("i"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("t")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    lost = lost.join(same, lost["doc_id"].eqNullSafe(same["i"]) & (lost["text_hash"] == same["t"]), "left")
+    lost = lost.select(F.col("doc_id").alias("k"), F.col("text_hash").alias("th"), F.floor(F.col("lost") / F.coalesce("rows", F.lit(1))).alias("lost"))
     c = counts(docs, text_col)
     own = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("text_hash"), *[v.alias(k) for k, v in c.items()])
     out = own.join(lost, own["doc_id"].eqNullSafe(lost["k"]) & (own["text_hash"] == lost["th"]), "left")

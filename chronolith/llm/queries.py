@@ -76,5 +76,67 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_sharding, op3_secret_scan, op4_decontamination, op5_line_dedup, op6_main_text, op7_license_scan, op8_language_id, op9_quality_rules, op10_pieces)}
 
 
+#: Characters that part words, as the SQL patterns have them.
+SQL_BREAKS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
+SQL_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _ngram_sql(n: int, percent: int) -> str:
+    """All pairs that share a shingle, counted; components by reachability."""
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({SQL_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) END) AS g FROM w),
+s AS (SELECT doc_id, unnest(g) AS h FROM g),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM o JOIN g a ON a.doc_id = x JOIN g b ON b.doc_id = y WHERE 100 * o >= {percent} * (len(a.g) + len(b.g) - o)),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.c = l.x),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY 1)
+SELECT g.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM g JOIN m ON g.doc_id = m.doc_id"""
+
+
+def _license_sql(threshold: float = 0.9, density: float = 0.25) -> str:
+    rows = []
+    for label, t in licenses.TEMPLATES:
+        words = licenses.word_list(t)
+        rows.append(f"('{label}', {words!r}, {int(len(words) / density)})")
+    base = " UNION ALL ".join(
+        f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i:i + {len(p.split()) - 1}] = {p.split()!r})) - 1 AS spot FROM w" for p, label in licenses.PHRASES.items()
+    )
+    return f"""
+WITH t(label, words, longest) AS (VALUES {', '.join(rows)}),
+w AS (SELECT doc_id, regexp_extract_all({SQL_LOWER}, '[^{SQL_BREAKS}]+') AS w FROM documents),
+b AS ({base}),
+bb AS (SELECT doc_id, count(*) AS n, min(spot) AS f, max(spot) AS l, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM b GROUP BY 1),
+x AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '[^{SQL_BREAKS}]+')) AS s FROM (SELECT doc_id, unnest(string_split({SQL_LOWER}, chr(10))) AS line FROM documents)),
+h AS (SELECT doc_id, label, len(list_intersect(s, words)) / len(words) AS share FROM x, t WHERE len(s) <= longest),
+k AS (SELECT doc_id, label, share FROM h WHERE share >= {threshold} - 1e-9),
+a AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM (SELECT doc_id, label FROM b UNION ALL SELECT doc_id, label FROM k) GROUP BY 1),
+s AS (SELECT doc_id, max(share) AS share FROM k GROUP BY 1)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(bb.n, 0) AS n_base, bb.f AS first_word, bb.l AS last_word, coalesce(bb.labels, '') AS base_labels,
+  coalesce(a.labels, '') AS labels, CASE WHEN bb.n > 0 THEN 1.0 ELSE coalesce(s.share, 0.0) END::DOUBLE AS score
+FROM w LEFT JOIN bb USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+
+def _quality_sql(min_words: int = 50, min_docs: int = 20, share: float = 0.001, max_lost: float = 0.7) -> str:
+    space = r"[\x20\x09-\x0D]+"
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w),
+r AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY 1),
+l AS (SELECT doc_id, source, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+n AS (SELECT doc_id, source, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{space}', ' ', 'g')) AS line FROM (SELECT doc_id, source, unnest(l) AS line FROM l)),
+o AS (SELECT doc_id, source, line, count(*) * len(string_split(line, ' ')) AS words FROM n GROUP BY 1, 2, 3),
+f AS (SELECT source, line, min(doc_id) AS holder FROM o GROUP BY 1, 2 HAVING count(*) > {min_docs} AND count(*) > {share} * any_value((SELECT count(*) FROM documents x WHERE x.source IS NOT DISTINCT FROM o.source))),
+z AS (SELECT doc_id, sum(words)::BIGINT AS lost FROM o JOIN f ON o.source IS NOT DISTINCT FROM f.source AND o.line = f.line WHERE doc_id <> holder GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '{space}', '', 'g'))::BIGINT AS word_chars,
+  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r, 0) AS n_repeat_words,
+  (len(w) < {min_words} OR 100 * coalesce(r, 0) > 50 * len(w)) AS base_failed,
+  NOT (len(w) < {min_words} OR 100 * coalesce(r, 0) > 50 * len(w)) AND coalesce(lost, 0) <= {max_lost} * len(w) AS kept, coalesce(lost, 0)::BIGINT AS removed_words
+FROM d JOIN w USING (doc_id) JOIN l ON l.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN z ON z.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators' SQL would be no SQL: they are tested against brute force in tests/llm."""
+    return {"op1_ngram_jaccard_join": _ngram_sql(4, 85), "op7_license_scan": _license_sql(), "op9_quality_rules": _quality_sql()}
