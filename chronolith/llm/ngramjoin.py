@@ -14,8 +14,8 @@ least T members.
    ``n - ceil(t n) + 1``.  Only these go to the inverted lists, and lists of one
    class are dropped.  How many of its members are gone so (shared with nobody)
    bounds what a class can share at all.
-4. Each list is merged around its member that shares most (a star), twice; the
-   links found join most of a group of near copies.  For members of different
+4. Each list is merged around its member that can share most (a star); the links
+   found join most of a group of near copies.  For members of different
    components all pairs of the lists are counted, and those that reach the
    number of shared members that T needs within the prefixes are candidates.
 5. Candidates are verified by DivideSkip: the members of a query are lists over
@@ -31,6 +31,7 @@ are one node.
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -41,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm.components import components
-from chronolith.llm.store import saved, small_batches
+from chronolith.llm.store import released, saved, scratch, small_batches
 
 FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
@@ -196,9 +197,11 @@ def _reach(n1: Column, free1: Column, n2: Column, free2: Column, percent: int) -
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link.  Rows come sorted by query; a run of one query is searched together."""
-    a = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
+    asked = saved(texts.join(pairs.select(F.col("a").alias("doc")).distinct(), "doc").select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "ngram_asked")
     b = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
+    # Texts lie in buckets by document, so only the pairs move to them; a query with very many
+    # candidates is split by AQE, as both sides of the second join are shuffled for it.
+    both = pairs.join(b, "b").join(asked, "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, query = None, None
@@ -233,13 +236,24 @@ def _open(lists: DataFrame) -> DataFrame:
     return by.filter("low != high").select("member", *[F.col(f"p.{c}").alias(f"{c}_p") for c in ("doc", "n", "free", "comp")])
 
 
+def _bucketed(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, str]:
+    """The texts of the representatives, in buckets by document: a table under the shared folder."""
+    spark = docs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), reps.count() // 20_000)
+    name = f"ngram_texts_{uuid.uuid4().hex}"
+    own = docs.repartition(n, "doc_id").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    own.select(F.col("doc_id").alias("doc"), "text").write.bucketBy(n, "doc").option("path", scratch(spark, "ngram_texts")).saveAsTable(name)
+    released(spark)
+    return spark.table(name), name
+
+
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, least_seen: int = 8, most_frequent: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sizes, classes, labels): size and digest of each row, representative of each digest, components of linked representatives."""
     small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
     sizes = saved(_sizes(rows, n), "ngram_sizes")
     classes = saved(sizes.filter("n_members > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "ngram_classes")
-    texts = saved(rows.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text"), "ngram_texts")
+    texts, name = _bucketed(rows, classes)
     entries = saved(_entries(texts, n, percent, frequent_members(texts, n, least_seen, most_frequent)), "ngram_entries")
     lists = saved(_shared_only(entries.filter("NOT long")).unionByName(entries.filter("long")).select("member", "doc", "n").distinct(), "ngram_lists")
     left = lists.groupBy("doc").agg(F.count(F.lit(1)).alias("left"))
@@ -248,10 +262,10 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     lists = saved(lists.join(left, "doc").withColumn("free", (F.col("n") - prefix + F.col("left")).cast("int")).select("member", "doc", "n", "free"), "ngram_lists")
     found: DataFrame | None = None
     labels: DataFrame | None = None
-    for round_ in range(3):
+    for star in (True, False):
         own = _labelled(lists, labels)
         opened = _open(own)
-        if round_ < 2:
+        if star:
             near = own.join(opened, "member").filter((F.col("comp") != F.col("comp_p")) & _reach(F.col("n"), F.col("free"), F.col("n_p"), F.col("free_p"), percent))
             pairs = near.select(F.col("doc_p").alias("a"), F.col("doc").alias("b")).distinct()
         else:
@@ -264,7 +278,9 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
             pairs = near.groupBy(F.col("doc_p").alias("a"), F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(need).alias("need")).filter("c >= need").select("a", "b")
         good = saved(_verified(saved(pairs, "ngram_pairs"), texts, n, percent), "ngram_links")
         found = good if found is None else found.unionByName(good)
-        labels = components(found)
+        if labels is None or good.limit(1).count():
+            labels = components(found)
+    docs.sparkSession.sql(f"DROP TABLE {name}")
     return sizes, classes, labels
 
 
