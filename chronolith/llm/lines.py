@@ -28,40 +28,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.llm.store import SPACE_RUN, SPACES, ascii_lower, bind, saved
+from chronolith.llm.store import ascii_lower, bind, saved
 
+#: Fixed value: white space inside a line.
+INNER_SPACE = "[\\x20\\x09\\x0B-\\x0D]+"
 #: Word hashes and weights stay below this, so that sums over a million words fit in a BIGINT.
 MODULUS = 1 << 20
 
 
-def _normal(line: Column) -> Column:
-    return F.regexp_replace(ascii_lower(F.btrim(line, F.lit(SPACES))), SPACE_RUN, " ")
+def _normal_lines(text: Column) -> Column:
+    """The lines, lower case, with one space between words.  The text is put in order once, then cut."""
+    return F.transform(F.split(F.regexp_replace(ascii_lower(text), INNER_SPACE, " "), "\n", -1), lambda x: F.btrim(x, F.lit(" ")))
 
 
 def _text_hash(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def _halves(words: Column) -> Column:
+def _halves(norm: Column, m: Column) -> Column:
     """Keys of the first and last half, for a partner as long, longer or shorter by one word."""
-    m = F.size(words)
-    side = lambda tag, low, start, h: F.xxhash64(F.lit(tag), low, F.slice(words, start, h))
     keys = []
     for low in (m, m - 1):
         h = F.floor(low / 2).cast("int")
-        keys += [side("first", low, F.lit(1), h), side("last", low, m - h + 1, h)]
+        for tag, n in (("first", h), ("last", -h)):
+            keys.append(F.xxhash64(F.lit(tag), low, F.call_function("substring_index", norm, F.lit(" "), n)))
     return F.array(*keys)
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int, near_words: int) -> DataFrame:
-    """Every line of enough words: where it stands, its hashes, its length, and the keys of its halves."""
+    """Every line of enough words: where it stands, its hashes, and the keys of its halves."""
     t = docs[text_col]
-    each = docs.select(docs[id_col].alias("doc_id"), _text_hash(t).alias("text_hash"), F.posexplode(F.split(t, "\n", -1)).alias("pos", "line"))
-    each = each.withColumn("norm", _normal(F.col("line")))
+    each = docs.select(docs[id_col].alias("doc_id"), _text_hash(t).alias("text_hash"), F.posexplode(_normal_lines(t)).alias("pos", "norm"))
     m = F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) + 1
-    each = each.withColumn("m", m).filter((F.col("norm") != "") & (F.col("m") >= min_words))
-    halves = F.when(F.col("m") >= near_words, bind(F.split("norm", " "), _halves))
-    return each.select(F.struct("doc_id", "text_hash", "pos").alias("at"), F.xxhash64("norm").alias("h1"), F.crc32("norm").alias("h2"), "m", halves.alias("halves"))
+    long = each.filter((F.col("norm") != "") & (m >= min_words))
+    halves = F.when(m >= near_words, _halves(F.col("norm"), m))
+    return long.select(F.struct("doc_id", "text_hash", "pos").alias("at"), F.xxhash64("norm").alias("h1"), F.crc32("norm").alias("h2"), halves.alias("halves"))
 
 
 def _variants(words: DataFrame) -> DataFrame:
@@ -105,37 +106,37 @@ def one_edit(a: Column, b: Column) -> Column:
     return (most - least <= 1) & (shared(a, b) + shared(F.reverse(a), F.reverse(b)) >= most - 1)
 
 
-def _near(lines: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _near(lines: DataFrame, firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Distinct lines of which an earlier line is one edit away: (at), where each stands first."""
-    keys = lines.filter(F.col("halves").isNotNull()).select("at", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = keys.groupBy("half").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low != high").select("half")
-    some = keys.join(shared, "half", "left_semi").select("at").distinct()
-    spots = some.groupBy(F.col("at.doc_id").alias("k"), F.col("at.text_hash").alias("th")).agg(F.collect_set("at.pos").alias("spots"))
+    keys = lines.filter(F.col("halves").isNotNull()).select("h1", F.explode("halves").alias("half"))
+    shared = keys.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low != high").select("half")
+    some = keys.join(shared, "half", "left_semi").select("h1").distinct()
+    spots = firsts.join(some, "h1", "left_semi").groupBy(F.col("at.doc_id").alias("k"), F.col("at.text_hash").alias("th")).agg(F.collect_set("at.pos").alias("spots"))
     spots = saved(spots, "line_spots")
     t = docs[text_col]
     own = docs.select(docs[id_col].alias("doc_id"), _text_hash(t).alias("text_hash"), t.alias("text"))
     held = own.join(spots, own["doc_id"].eqNullSafe(spots["k"]) & (own["text_hash"] == spots["th"]))
-    picked = bind(F.split("text", "\n", -1), lambda x: F.transform(F.col("spots"), lambda p: F.struct(p.alias("pos"), F.get(x, p).alias("line"))))
-    words = held.select("doc_id", "text_hash", F.inline(picked)).select(F.struct("doc_id", "text_hash", "pos").alias("at"), F.split(_normal(F.col("line")), " ").alias("words"))
+    picked = bind(_normal_lines(F.col("text")), lambda x: F.transform(F.col("spots"), lambda p: F.struct(p.alias("pos"), F.get(x, p).alias("line"))))
+    words = held.select("doc_id", "text_hash", F.inline(picked)).select(F.struct("doc_id", "text_hash", "pos").alias("at"), F.split("line", " ").alias("words"))
     words = saved(words.dropDuplicates(["at"]), "line_words")
     variants = saved(_variants(words), "line_variants")
-    firsts = variants.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"first{r}") for r in (0, 1, 2)])
-    mates = F.when(F.col("role") == 0, F.col("first0")).when(F.col("role") == 1, F.col("first2")).otherwise(F.col("first1"))
-    # A key of one line alone pairs with nothing: it is left out before the join.
-    firsts = firsts.filter(F.col("first0").isNotNull() | (F.col("first1").isNotNull() & F.col("first2").isNotNull()))
-    pairs = variants.join(firsts, "key").select("at", mates.alias("mate")).filter(F.col("mate") < F.col("at")).distinct()
-    mate = words.select(F.col("at").alias("mate"), F.col("words").alias("mate_words"))
-    return pairs.join(words, "at").join(mate, "mate").filter(one_edit(F.col("words"), F.col("mate_words"))).select("at").distinct()
+    # Keys of one line alone pair with nothing: few are left to join.
+    mates = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"first{r}") for r in (0, 1, 2)]).filter("n > 1")
+    mates = saved(mates.filter(F.col("first0").isNotNull() | (F.col("first1").isNotNull() & F.col("first2").isNotNull())), "line_mates")
+    mate = F.when(F.col("role") == 0, F.col("first0")).when(F.col("role") == 1, F.col("first2")).otherwise(F.col("first1"))
+    pairs = variants.join(mates, "key").select("at", mate.alias("mate")).filter(F.col("mate") < F.col("at")).distinct()
+    other = words.select(F.col("at").alias("mate"), F.col("words").alias("mate_words"))
+    return pairs.join(words, "at").join(other, "mate").filter(one_edit(F.col("words"), F.col("mate_words"))).select("at").distinct()
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, near_words: int = 10) -> DataFrame:
     """(doc_id, text_hash, gone): the places of the lines that are copies, for documents that have any."""
     lines = saved(lines_of(docs, id_col, text_col, min_words, near_words), "lines")
-    distinct = saved(lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.any_value("halves").alias("halves")), "line_firsts")
-    near = saved(_near(distinct.select("at", "halves"), docs, id_col, text_col).withColumn("near", F.lit(True)), "line_near")
-    firsts = distinct.select("h1", "h2", F.col("at").alias("first")).join(near.withColumnRenamed("at", "first"), "first", "left")
-    held = lines.select("at", "h1", "h2").join(firsts, ["h1", "h2"]).filter(F.col("near").isNotNull() | (F.col("at") != F.col("first")))
-    return held.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash")).agg(F.collect_set("at.pos").alias("gone"))
+    firsts = saved(lines.groupBy("h1", "h2").agg(F.min("at").alias("at")), "line_firsts")
+    near = saved(_near(lines, firsts, docs, id_col, text_col).select(F.col("at").alias("first"), F.lit(True).alias("near")), "line_near")
+    marked = firsts.withColumnRenamed("at", "first").join(near, "first", "left")
+    held = lines.select("at", "h1", "h2").join(marked, ["h1", "h2"]).filter(F.col("near").isNotNull() | (F.col("at") != F.col("first")))
+    return saved(held.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash")).agg(F.collect_set("at.pos").alias("gone")), "line_gone")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, near_words: int = 10) -> DataFrame:

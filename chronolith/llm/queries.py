@@ -85,14 +85,15 @@ def _ngram_sql(n: int, percent: int) -> str:
     """All pairs that share a shingle, counted; components by reachability."""
     return f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({SQL_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+g AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
   ELSE list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) END) AS g FROM w),
-s AS (SELECT doc_id, unnest(g) AS h FROM g),
-o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-l AS (SELECT x, y FROM o JOIN g a ON a.doc_id = x JOIN g b ON b.doc_id = y WHERE 100 * o >= {percent} * (len(a.g) + len(b.g) - o)),
+s AS MATERIALIZED (SELECT doc_id, unnest(g) AS h FROM g),
+k AS MATERIALIZED (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM g),
+o AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM o JOIN k a ON a.doc_id = x JOIN k b ON b.doc_id = y WHERE 100 * o >= {percent} * (a.n + b.n - o)),
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.c = l.x),
 m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY 1)
-SELECT g.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM g JOIN m ON g.doc_id = m.doc_id"""
+SELECT k.doc_id, n AS n_shingles, component_id FROM k JOIN m ON k.doc_id = m.doc_id"""
 
 
 def _license_sql(threshold: float = 0.9, density: float = 0.25) -> str:
@@ -105,12 +106,12 @@ def _license_sql(threshold: float = 0.9, density: float = 0.25) -> str:
     )
     return f"""
 WITH t(label, words, longest) AS (VALUES {', '.join(rows)}),
-w AS (SELECT doc_id, regexp_extract_all({SQL_LOWER}, '[^{SQL_BREAKS}]+') AS w FROM documents),
-b AS ({base}),
+w AS MATERIALIZED (SELECT doc_id, regexp_extract_all({SQL_LOWER}, '[^{SQL_BREAKS}]+') AS w FROM documents),
+b AS MATERIALIZED ({base}),
 bb AS (SELECT doc_id, count(*) AS n, min(spot) AS f, max(spot) AS l, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM b GROUP BY 1),
-x AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '[^{SQL_BREAKS}]+')) AS s FROM (SELECT doc_id, unnest(string_split({SQL_LOWER}, chr(10))) AS line FROM documents)),
+x AS MATERIALIZED (SELECT doc_id, list_distinct(regexp_extract_all(line, '[^{SQL_BREAKS}]+')) AS s FROM (SELECT doc_id, unnest(string_split({SQL_LOWER}, chr(10))) AS line FROM documents)),
 h AS (SELECT doc_id, label, len(list_intersect(s, words)) / len(words) AS share FROM x, t WHERE len(s) <= longest),
-k AS (SELECT doc_id, label, share FROM h WHERE share >= {threshold} - 1e-9),
+k AS MATERIALIZED (SELECT doc_id, label, share FROM h WHERE share >= {threshold} - 1e-9),
 a AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM (SELECT doc_id, label FROM b UNION ALL SELECT doc_id, label FROM k) GROUP BY 1),
 s AS (SELECT doc_id, max(share) AS share FROM k GROUP BY 1)
 SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(bb.n, 0) AS n_base, bb.f AS first_word, bb.l AS last_word, coalesce(bb.labels, '') AS base_labels,
