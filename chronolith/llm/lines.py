@@ -19,16 +19,18 @@ A variant's key comes from running sums over the line's words, in time that
 grows with the line and not with its square.  Each pair found is verified on
 the words before it counts.
 
-Null text has no lines and stays null.  Rows that are equal in id and text are
+The rows are first written in buckets, so texts move once.  Null text has no lines and stays null.  Rows that are equal in id and text are
 alike and don't make copies of each other.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.llm.store import ascii_lower, bind, saved
+from chronolith.llm.store import ascii_lower, bind, released, saved, scratch
 
 #: Fixed value: white space inside a line.
 INNER_SPACE = "[\\x20\\x09\\x0B-\\x0D]+"
@@ -41,28 +43,25 @@ def _normal_lines(text: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(ascii_lower(text), INNER_SPACE, " "), "\n", -1), lambda x: F.btrim(x, F.lit(" ")))
 
 
-def _text_hash(text: Column) -> Column:
-    return F.xxhash64(text)
-
-
 def _halves(norm: Column, m: Column) -> Column:
-    """Keys of the first and last half, for a partner as long, longer or shorter by one word."""
-    keys = []
-    for low in (m, m - 1):
-        h = F.floor(low / 2).cast("int")
-        for tag, n in (("first", h), ("last", -h)):
-            keys.append(F.xxhash64(F.lit(tag), low, F.call_function("substring_index", norm, F.lit(" "), n)))
-    return F.array(*keys)
+    """Keys of the first and last half, for a partner as long, longer or shorter by one word.
 
+    A half has as many words as half of the shorter line: m // 2, or (m - 1) // 2
+    words, which is the same for an odd m.
+    """
+    key = lambda tag, h, n: F.xxhash64(F.lit(tag), h, F.call_function("substring_index", norm, F.lit(" "), n))
+    h = F.floor(m / 2).cast("int")
+    both = lambda h: (key("first", h, h), key("last", h, -h))
+    return F.when(m % 2 == 1, F.array(*both(h))).otherwise(F.array(*both(h), *both(h - 1)))
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int, near_words: int) -> DataFrame:
+
+def lines_of(held: DataFrame, min_words: int, near_words: int) -> DataFrame:
     """Every line of enough words: where it stands, its hashes, and the keys of its halves."""
-    t = docs[text_col]
-    each = docs.select(docs[id_col].alias("doc_id"), _text_hash(t).alias("text_hash"), F.posexplode(_normal_lines(t)).alias("pos", "norm"))
+    each = held.select(F.col("__id").alias("doc_id"), F.col("__row").alias("row"), F.posexplode(_normal_lines(F.col("__text"))).alias("pos", "norm"))
     m = F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) + 1
     long = each.filter((F.col("norm") != "") & (m >= min_words))
     halves = F.when(m >= near_words, _halves(F.col("norm"), m))
-    return long.select(F.struct("doc_id", "text_hash", "pos").alias("at"), F.xxhash64("norm").alias("h1"), F.crc32("norm").alias("h2"), halves.alias("halves"))
+    return long.select(F.struct("doc_id", "row", "pos").alias("at"), F.xxhash64("norm").alias("h1"), F.crc32("norm").alias("h2"), halves.alias("halves"))
 
 
 def _variants(words: DataFrame) -> DataFrame:
@@ -106,18 +105,15 @@ def one_edit(a: Column, b: Column) -> Column:
     return (most - least <= 1) & (shared(a, b) + shared(F.reverse(a), F.reverse(b)) >= most - 1)
 
 
-def _near(lines: DataFrame, firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _near(lines: DataFrame, firsts: DataFrame, held: DataFrame) -> DataFrame:
     """Distinct lines of which an earlier line is one edit away: (at), where each stands first."""
     keys = lines.filter(F.col("halves").isNotNull()).select("h1", F.explode("halves").alias("half"))
     shared = keys.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low != high").select("half")
     some = keys.join(shared, "half", "left_semi").select("h1").distinct()
-    spots = firsts.join(some, "h1", "left_semi").groupBy(F.col("at.doc_id").alias("k"), F.col("at.text_hash").alias("th")).agg(F.collect_set("at.pos").alias("spots"))
-    spots = saved(spots, "line_spots")
-    t = docs[text_col]
-    own = docs.select(docs[id_col].alias("doc_id"), _text_hash(t).alias("text_hash"), t.alias("text"))
-    held = own.join(spots, own["doc_id"].eqNullSafe(spots["k"]) & (own["text_hash"] == spots["th"]))
-    picked = bind(_normal_lines(F.col("text")), lambda x: F.transform(F.col("spots"), lambda p: F.struct(p.alias("pos"), F.get(x, p).alias("line"))))
-    words = held.select("doc_id", "text_hash", F.inline(picked)).select(F.struct("doc_id", "text_hash", "pos").alias("at"), F.split("line", " ").alias("words"))
+    spots = firsts.join(some, "h1", "left_semi").groupBy(F.col("at.row").alias("__row")).agg(F.collect_set("at.pos").alias("spots"))
+    picked = bind(_normal_lines(F.col("__text")), lambda x: F.transform(F.col("spots"), lambda p: F.struct(p.alias("pos"), F.get(x, p).alias("line"))))
+    own = held.select("__id", "__row", "__text").join(saved(spots, "line_spots"), "__row")
+    words = own.select(F.col("__id").alias("doc_id"), F.col("__row").alias("row"), F.inline(picked)).select(F.struct("doc_id", "row", "pos").alias("at"), F.split("line", " ").alias("words"))
     words = saved(words.dropDuplicates(["at"]), "line_words")
     variants = saved(_variants(words), "line_variants")
     # Keys of one line alone pair with nothing: few are left to join.
@@ -129,23 +125,34 @@ def _near(lines: DataFrame, firsts: DataFrame, docs: DataFrame, id_col: str, tex
     return pairs.join(words, "at").join(other, "mate").filter(one_edit(F.col("words"), F.col("mate_words"))).select("at").distinct()
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, near_words: int = 10) -> DataFrame:
-    """(doc_id, text_hash, gone): the places of the lines that are copies, for documents that have any."""
-    lines = saved(lines_of(docs, id_col, text_col, min_words, near_words), "lines")
+def _bucketed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows in buckets by id and text, under the shared folder: two joins then move no text."""
+    spark = docs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // 50_000)
+    name = f"line_docs_{uuid.uuid4().hex}"
+    path = scratch(spark, "line_docs")
+    rows = docs.select(*[docs[c].alias(f"c_{c}") for c in docs.columns], docs[id_col].alias("__id"), docs[text_col].alias("__text"), F.xxhash64(docs[id_col], docs[text_col]).alias("__row"))
+    rows.drop(f"c_{text_col}").repartition(n, "__row").write.bucketBy(n, "__row").option("path", path).saveAsTable(name)
+    released(spark)
+    return spark.table(name)
+
+
+def copies(held: DataFrame, min_words: int, near_words: int) -> DataFrame:
+    """(__row, gone): the places of the lines that are copies, for rows that have any."""
+    lines = saved(lines_of(held, min_words, near_words), "lines")
     firsts = saved(lines.groupBy("h1", "h2").agg(F.min("at").alias("at")), "line_firsts")
-    near = saved(_near(lines, firsts, docs, id_col, text_col).select(F.col("at").alias("first"), F.lit(True).alias("near")), "line_near")
+    near = saved(_near(lines, firsts, held).select(F.col("at").alias("first"), F.lit(True).alias("near")), "line_near")
     marked = firsts.withColumnRenamed("at", "first").join(near, "first", "left")
-    held = lines.select("at", "h1", "h2").join(marked, ["h1", "h2"]).filter(F.col("near").isNotNull() | (F.col("at") != F.col("first")))
-    return saved(held.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash")).agg(F.collect_set("at.pos").alias("gone")), "line_gone")
+    own = lines.select("at", "h1", "h2").join(marked, ["h1", "h2"]).filter(F.col("near").isNotNull() | (F.col("at") != F.col("first")))
+    return saved(own.groupBy(F.col("at.row").alias("__row")).agg(F.collect_set("at.pos").alias("gone")), "line_gone")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, near_words: int = 10) -> DataFrame:
     """The rows without lines that are copies, with the number removed as ``lines_removed`` (replaced if there)."""
-    gone = copies(docs, id_col, text_col, min_words, near_words).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash", "gone": "__gone"})
+    held = _bucketed(docs, id_col, text_col)
+    both = held.join(copies(held, min_words, near_words), "__row", "left")
     names = [c for c in docs.columns if c != "lines_removed"]
-    t = docs[text_col]
-    both = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]) & (_text_hash(t) == gone["__hash"]), "left")
-    rest = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone")), lambda i: F.get(x, i))
-    text = F.when(F.col("__gone").isNull(), t).otherwise(F.array_join(bind(F.split(t, "\n", -1), rest), "\n"))
-    removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("bigint")
-    return both.select(*[text.alias(c) if c == text_col else docs[c] for c in names], removed.alias("lines_removed"))
+    rest = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i))
+    text = F.when(F.col("gone").isNull(), F.col("__text")).otherwise(F.array_join(bind(F.split("__text", "\n", -1), rest), "\n"))
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("bigint")
+    return both.select(*[(text if c == text_col else F.col(f"c_{c}")).alias(c) for c in names], removed.alias("lines_removed"))
