@@ -12,8 +12,8 @@ least T members.
    everywhere; an inexact count changes no result.
 3. A class can reach T with another only if they share a member among its first
    ``n - ceil(t n) + 1``.  Only these go to the inverted lists, and lists of one
-   class are dropped.  How many of its members are gone so (shared with nobody)
-   bounds what a class can share at all.
+   class are dropped.  A member dropped so may still lie behind the prefix of a
+   longer class; what the listed ones bound is the overlap of two prefixes.
 4. Each list is merged around its member that can share most (a star); the links
    found join most of a group of near copies.  For members of different
    components all pairs of the lists are counted, and those that reach the
@@ -189,10 +189,15 @@ def _shared_only(entries: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, entries.schema)
 
 
-def _reach(n1: Column, free1: Column, n2: Column, free2: Column, percent: int) -> Column:
-    """Whether sets of these sizes, with at most ``free`` members to share, can reach the threshold."""
-    most = F.least(free1, free2)
-    return most * (100 + percent) >= (n1 + n2) * percent
+def _need(n1: Column, n2: Column, percent: int) -> Column:
+    """How many members the prefixes must share: of all T, those outside can be at most the longer rest."""
+    rest = F.greatest(F.ceil(n1 * percent / 100), F.ceil(n2 * percent / 100)) - 1
+    return F.ceil((n1 + n2) * percent / (100 + percent)) - rest
+
+
+def _reach(n1: Column, left1: Column, n2: Column, left2: Column, percent: int) -> Column:
+    """Whether sets of these sizes, with ``left`` members of their prefixes in lists, can reach the threshold."""
+    return (F.least(n1, n2) * (100 + percent) >= (n1 + n2) * percent) & (F.least(left1, left2) >= _need(n1, n2, percent))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -230,10 +235,11 @@ def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     return lists.join(labels.select(F.col("node").alias("doc"), F.col("comp").alias("own")), "doc", "left").withColumn("comp", F.coalesce("own", "doc")).drop("own")
 
 
-def _open(lists: DataFrame) -> DataFrame:
-    """Lists whose members lie in several components, each with the one that can share most."""
-    by = lists.groupBy("member").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(F.col("n") - F.col("free"), "doc", "n", "free", "comp")).alias("p"))
-    return by.filter("low != high").select("member", *[F.col(f"p.{c}").alias(f"{c}_p") for c in ("doc", "n", "free", "comp")])
+def _open(lists: DataFrame, percent: int) -> DataFrame:
+    """Lists whose members lie in several components, each with the one of whose prefix least is in no list."""
+    unlisted = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("left")
+    by = lists.groupBy("member").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct(unlisted, "doc", "n", "left", "comp")).alias("p"))
+    return by.filter("low != high").select("member", *[F.col(f"p.{c}").alias(f"{c}_p") for c in ("doc", "n", "left", "comp")])
 
 
 def _bucketed(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, str]:
@@ -256,26 +262,24 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     texts, name = _bucketed(rows, classes)
     entries = saved(_entries(texts, n, percent, frequent_members(texts, n, least_seen, most_frequent)), "ngram_entries")
     lists = saved(_shared_only(entries.filter("NOT long")).unionByName(entries.filter("long")).select("member", "doc", "n").distinct(), "ngram_lists")
-    left = lists.groupBy("doc").agg(F.count(F.lit(1)).alias("left"))
-    # Members of the prefix that are in no list can't be shared: what is free to be is the rest.
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    lists = saved(lists.join(left, "doc").withColumn("free", (F.col("n") - prefix + F.col("left")).cast("int")).select("member", "doc", "n", "free"), "ngram_lists")
+    # Two prefixes can share no more than either has in lists.
+    left = lists.groupBy("doc").agg(F.count(F.lit(1)).cast("int").alias("left"))
+    lists = saved(lists.join(left, "doc").select("member", "doc", "n", "left"), "ngram_lists")
     found: DataFrame | None = None
     labels: DataFrame | None = None
     for star in (True, False):
         own = _labelled(lists, labels)
-        opened = _open(own)
+        opened = _open(own, percent)
         if star:
-            near = own.join(opened, "member").filter((F.col("comp") != F.col("comp_p")) & _reach(F.col("n"), F.col("free"), F.col("n_p"), F.col("free_p"), percent))
+            near = own.join(opened, "member").filter((F.col("comp") != F.col("comp_p")) & _reach(F.col("n"), F.col("left"), F.col("n_p"), F.col("left_p"), percent))
             pairs = near.select(F.col("doc_p").alias("a"), F.col("doc").alias("b")).distinct()
         else:
             own = own.join(opened.select("member"), "member", "left_semi")
-            other = own.select("member", *[F.col(c).alias(f"{c}_p") for c in ("doc", "n", "free", "comp")])
-            near = own.join(other, "member").filter((F.col("doc_p") < F.col("doc")) & (F.col("comp") != F.col("comp_p")) & _reach(F.col("n"), F.col("free"), F.col("n_p"), F.col("free_p"), percent))
-            # Of all T shared members, those outside both prefixes can be at most the longer rest.
-            rest = F.greatest(F.ceil(F.col("n") * percent / 100), F.ceil(F.col("n_p") * percent / 100)) - 1
-            need = F.ceil((F.col("n") + F.col("n_p")) * percent / (100 + percent)) - rest
-            pairs = near.groupBy(F.col("doc_p").alias("a"), F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max(need).alias("need")).filter("c >= need").select("a", "b")
+            other = own.select("member", *[F.col(c).alias(f"{c}_p") for c in ("doc", "n", "left", "comp")])
+            near = own.join(other, "member").filter((F.col("doc_p") < F.col("doc")) & (F.col("comp") != F.col("comp_p")) & _reach(F.col("n"), F.col("left"), F.col("n_p"), F.col("left_p"), percent))
+            # Sizes are keys too: the texts of a repeated id need different counts.
+            counted = near.groupBy(F.col("doc_p").alias("a"), F.col("doc").alias("b"), "n_p", "n").agg(F.count(F.lit(1)).alias("c"))
+            pairs = counted.filter(F.col("c") >= _need(F.col("n"), F.col("n_p"), percent)).select("a", "b").distinct()
         good = saved(_verified(saved(pairs, "ngram_pairs"), texts, n, percent), "ngram_links")
         found = good if found is None else found.unionByName(good)
         if labels is None or good.limit(1).count():

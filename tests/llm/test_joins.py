@@ -60,6 +60,21 @@ def test_near_copy_chain(spark):
     assert kept == set(got.values())
 
 
+@pytest.mark.parametrize("seen", [2, 8])
+def test_ngram_sizes(spark, seen):
+    """Pairs that link although one is longer by up to 1/t: its own members may fill its prefix."""
+    r = random.Random(6)
+    rows = []
+    for i in range(150):
+        w = [f"p{i}x{j}" for j in range(r.randrange(40, 103))]
+        more = [f"q{i}x{j}" for j in range(r.randrange(0, len(w) // 5))]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w + more))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x["doc_id"]: x["component_id"] for x in ngramjoin.grouped(df, least_seen=seen).collect()}
+    sets = {i: shingles(t, 4) for i, t in rows}
+    assert got == {i: i - (i % 2 and 100 * len(sets[i - 1] & sets[i]) >= 85 * len(sets[i - 1] | sets[i])) for i in sets}
+
+
 def test_divide_skip():
     r = np.random.default_rng(1)
     for _ in range(50):
