@@ -6,7 +6,7 @@ normalised (ASCII lower case, runs of white space as one space), hashed, and
 counted by distinct documents for each host.  A line above the host's limit is
 removed from every document of the host but the earliest that holds it; a
 document that loses more than ``max_lost`` of its words so is depleted, and
-rejected.
+rejected.  ``kept`` returns the others without those lines.
 
 Null text counts as empty, and a null host is a host of its own.  Rows equal in
 id, host and text are one document.
@@ -60,6 +60,10 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
 
 
+def _norm(line: Column) -> Column:
+    return F.regexp_replace(ascii_lower(F.btrim(line, F.lit(SPACES))), SPACE_RUN, " ")
+
+
 def counts(docs: DataFrame, text_col: str = "text") -> dict[str, Column]:
     text = F.coalesce(docs[text_col], F.lit(""))
     dup = bind(_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x)))
@@ -75,9 +79,8 @@ def counts(docs: DataFrame, text_col: str = "text") -> dict[str, Column]:
 def _own_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """One row for each document and distinct normalised line, with the words of all its places."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    norm = F.regexp_replace(ascii_lower(F.btrim(F.col("line"), F.lit(SPACES))), SPACE_RUN, " ")
     n_words = F.length(F.col("norm")) - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) + 1
-    each = docs.select(docs[id_col].alias("doc_id"), docs[host_col].alias("host"), F.xxhash64(text).alias("text_hash"), F.explode(_lines(text)).alias("line")).withColumn("norm", norm)
+    each = docs.select(docs[id_col].alias("doc_id"), docs[host_col].alias("host"), F.xxhash64(text).alias("text_hash"), F.explode(_lines(text)).alias("line")).withColumn("norm", _norm(F.col("line")))
     keyed = each.select("doc_id", "host", "text_hash", F.xxhash64("norm").alias("h1"), F.crc32("norm").alias("h2"), n_words.cast("bigint").alias("words"))
     return keyed.groupBy("doc_id", "host", "text_hash", "h1", "h2").agg(F.sum("words").alias("words"))
 
@@ -102,14 +105,19 @@ def assess(
     max_lost: float = 0.7,
 ) -> DataFrame:
     """Counts, removed words and verdict of every row; rows of equal id and text share them."""
+    return _assessed(docs, id_col, text_col, host_col, min_words, max_repeat, min_docs, share, max_lost).drop("gone")
+
+
+def _assessed(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_words: int, max_repeat: float, min_docs: int, share: float, max_lost: float) -> DataFrame:
+    """As ``assess``, and ``gone``: host and keys of the lines to remove."""
     lines = _own_lines(docs, id_col, text_col, host_col)
     limits = line_limits(lines, docs, host_col, min_docs, share).withColumnsRenamed({"host": "k", "h1": "k1", "h2": "k2"})
     hits = lines.join(limits, lines["host"].eqNullSafe(limits["k"]) & (lines["h1"] == limits["k1"]) & (lines["h2"] == limits["k2"]))
     hits = hits.filter(~F.col("doc_id").eqNullSafe(F.col("holder")))
-    lost = hits.groupBy("doc_id", "text_hash").agg(F.sum("words").alias("lost"))
+    lost = hits.groupBy("doc_id", "text_hash").agg(F.sum("words").alias("lost"), F.collect_set(F.struct("host", "h1", "h2")).alias("gone"))
     same = docs.groupBy(docs[id_col].alias("i"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("t")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     lost = lost.join(same, lost["doc_id"].eqNullSafe(same["i"]) & (lost["text_hash"] == same["t"]), "left")
-    lost = lost.select(F.col("doc_id").alias("k"), F.col("text_hash").alias("th"), F.floor(F.col("lost") / F.coalesce("rows", F.lit(1))).alias("lost"))
+    lost = lost.select(F.col("doc_id").alias("k"), F.col("text_hash").alias("th"), F.floor(F.col("lost") / F.coalesce("rows", F.lit(1))).alias("lost"), "gone")
     c = counts(docs, text_col)
     own = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("text_hash"), *[v.alias(k) for k, v in c.items()])
     out = own.join(lost, own["doc_id"].eqNullSafe(lost["k"]) & (own["text_hash"] == lost["th"]), "left")
@@ -126,11 +134,33 @@ def assess(
         (~failed & (gone <= n * max_lost)).alias("kept"),
         gone.alias("removed_words"),
         "text_hash",
+        "gone",
     )
 
 
-def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """The rows of ``docs`` that pass, as they are."""
-    bad = assess(docs, id_col, text_col, host_col, **limits).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+def _without(text: Column, host: Column, gone: Column) -> Column:
+    """The text without the lines whose keys ``gone`` holds for the host."""
+    own = F.transform(F.filter(gone, lambda g: g["host"].eqNullSafe(host)), lambda g: F.struct(g["h1"].alias("h1"), g["h2"].alias("h2")))
+    key = lambda line: bind(_norm(line), lambda x: F.struct(F.xxhash64(x).alias("h1"), F.crc32(x).alias("h2")))
+    return bind(own, lambda o: F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(o, key(x))), "\n"))
+
+
+def kept(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    min_words: int = 50,
+    max_repeat: float = 0.5,
+    min_docs: int = 20,
+    share: float = 0.001,
+    max_lost: float = 0.7,
+) -> DataFrame:
+    """The rows of ``docs`` that pass, without the lines above their host's limit; the earliest holder keeps them."""
+    found = _assessed(docs, id_col, text_col, host_col, min_words, max_repeat, min_docs, share, max_lost)
+    marks = found.filter(~F.col("kept") | F.col("gone").isNotNull()).dropDuplicates(["doc_id", "text_hash"])
+    marks = marks.select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "text_hash", "kept", "gone")])
     th = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__id"]) & (th == bad["__hash"]), "left_anti")
+    both = docs.join(marks, docs[id_col].eqNullSafe(marks["__doc_id"]) & (th == marks["__text_hash"]), "left").filter(F.coalesce("__kept", F.lit(True)))
+    text = F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(_without(docs[text_col], docs[host_col], F.col("__gone")))
+    return both.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -16,8 +16,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return quality.kept(docs).select(*COLUMNS)
+    """Documents that the rules reject go, and lines above their host's limit."""
+    return quality.kept(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

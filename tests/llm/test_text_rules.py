@@ -40,6 +40,20 @@ def test_quality_depleted(spark):
     assert sorted(r["doc_id"] for r in quality.kept(df, min_docs=3, share=0.01).collect()) == [0, 10, 11, 12, 13, 14, 20]
 
 
+def test_quality_lines_go(spark):
+    """Lines above the limit leave the text of all but the earliest holder, in the pipeline too."""
+    import corpus_pipeline
+
+    fresh = lambda i: " ".join(f"own{i}x{j}" for j in range(60))
+    rows = [(i, f"All rights  reserved.\n\n{fresh(i)}\n ALL RIGHTS reserved.\nlast{i}", "en", host, 1) for i, host in [(i, "h") for i in range(25)] + [(50, "other"), (51, None)]]
+    rows += [(3, *rows[3][1:]), (60, fresh(60), "en", "h", 7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    want = sorted((i, t if i in (0, 50, 51, 60) else f"\n{fresh(i)}\nlast{i}") for i, t, *_ in rows)
+    assert sorted((r["doc_id"], r["text"]) for r in quality.kept(df).collect()) == want
+    got = corpus_pipeline.quality_rules(spark, df, "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == want and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
 def one_edit(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
