@@ -12,9 +12,13 @@ What stays is joined block by block, inside the page's article or main element
 if it has one.  Nodes seen fewer than ``min_seen`` times say nothing about a
 site and stay.
 
-Null html counts as empty; a null address is a host of its own.  Counts are
-summed in each task before the shuffle, so a host with a third of all pages
-costs a row for each task, node and content.
+Pages of a host with the same blocks are one page in the tree, so that copies
+don't make an article look like template.
+
+Null html counts as empty; a null address is a host of its own.  Copies are
+dropped, and then counts summed, in each task before the shuffle, so a host with
+a third of all pages costs a row for each different page, and a row for each
+task, node and content.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -134,6 +139,9 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+NODE_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+
+
 def _hash(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s) - (1 << 63)
 
@@ -144,27 +152,34 @@ def host_of(url) -> str:
 
 
 def style_nodes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(host, node, kind, value, n): how often each node of a host had a content or a layout."""
+    """(host, node, kind, value, n): how often each node had a content or a layout in the different pages of a host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n: Counter = Counter()
+            pages: dict[tuple[str, bytes], Counter] = {}
             for url, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                host = host_of(url)
+                blocks = blocks_of(page.as_py() or "")
+                key = host_of(url), xxhash.xxh3_128_digest("\0".join(x for path, text, _, _ in blocks for x in (path, text)))
+                if key in pages:
+                    continue
+                n = pages[key] = Counter()
                 layouts: dict[str, list[str]] = {}
-                for path, text, _, _ in blocks_of(page.as_py() or ""):
-                    n[host, _hash(path), 0, _hash(text)] += 1
+                for path, text, _, _ in blocks:
+                    n[_hash(path), 0, _hash(text)] += 1
                     layouts.setdefault(path.rpartition(">")[0], []).append(path.rpartition(">")[2])
                 for path, below in layouts.items():
-                    n[host, _hash(path), 1, _hash(",".join(below))] += 1
-            keys = list(zip(*n, strict=True)) if n else [[], [], [], []]
+                    n[_hash(path), 1, _hash(",".join(below))] += 1
+            nodes = [[(*k, c) for k, c in n.items()] for n in pages.values()]
+            parts = list(zip(*[x for own in nodes for x in own], strict=True)) or [[], [], [], []]
+            each = pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(parts, NODE_TYPES, strict=True)], names=["node", "kind", "value", "n"])
+            ends = pa.array(list(accumulate(map(len, nodes), initial=0)), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.int32()), pa.array(keys[3], pa.int64()), pa.array(list(n.values()), pa.int64())],
-                names=["host", "node", "kind", "value", "n"],
+                [pa.array([k[0] for k in pages], pa.string()), pa.array([k[1] for k in pages], pa.binary()), pa.ListArray.from_arrays(ends, each)], names=["host", "page", "nodes"]
             )
 
     own = pages.select(pages[url_col].alias("url"), pages[html_col].alias("html"))
-    counted = own.mapInArrow(run, "host string, node bigint, kind int, value bigint, n bigint")
+    counted = own.mapInArrow(run, "host string, page binary, nodes array<struct<node:bigint,kind:int,value:bigint,n:bigint>>")
+    counted = counted.groupBy("host", "page").agg(F.first("nodes").alias("nodes")).select("host", F.inline("nodes"))
     return counted.groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n"))
 
 

@@ -126,3 +126,16 @@ def test_style_trees(spark):
     assert got[3] == "Story 3 of many\n\nRead our magazine" and got[99] == "Read our magazine" and got[100] == ""
     assert got == {r["page_id"]: r["text"] for r in maintext.extract(df, most_rows=0).collect()}
     assert maintext.extract(df.limit(0)).count() == 0
+
+
+def test_style_trees_copies(spark):
+    """Many copies of one page take no heading from it, nor from the different pages of its host."""
+    page = lambda k: f"<body><div class='x'><p>Read our magazine</p></div><div class='t'><h1>Head {k}</h1><p>Story {k} of many</p></div></body>"
+    rows = [(i, "http://h/1", page("a")) for i in range(200)] + [(200 + i, f"http://h/{i}", page(i)) for i in range(30)]
+    rows += [(300 + i, f"http://one/{i}", page("b")) for i in range(25)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"] for r in maintext.extract(df).collect()}
+    assert all(got[i] == "Head a\n\nStory a of many" for i in range(200)) and all(got[200 + i] == f"Head {i}\n\nStory {i} of many" for i in range(30))
+    assert all(got[300 + i] == "Read our magazine\n\nHead b\n\nStory b of many" for i in range(25))
+    nodes = maintext.style_nodes(df, "url", "html").filter("host = 'h' AND kind = 0").groupBy("node").sum("n").collect()
+    assert [r["sum(n)"] for r in nodes] == [31] * 3
