@@ -2,9 +2,12 @@
 
 A line is a copy if a line that stands earlier (by document id, then place) has
 the same words, or the same but for one word put in, left out or replaced.
-Words are compared in ASCII lower case.  Lines of fewer than ``min_words`` words
-are too short to be copies and always stay; the edit is allowed from
-``near_words`` words on.  Only the earliest of several copies is kept.
+Words are compared in ASCII lower case; in scripts without spaces each character
+is a word.  Lines of fewer than ``min_words`` words always stay; the edit is
+allowed from ``near_words`` words on.  ``ANY_LENGTH``, which the query and the
+pipeline take, has every line that isn't blank compared, and an edit allowed
+where it is a fifth of the line or less.  Only the earliest of several copies is
+kept.
 
 Each distinct line would emit itself and all variants with one word left out as
 hashed keys.  Two facts keep that small and lose no pair:
@@ -34,13 +37,18 @@ from chronolith.llm.store import ascii_lower, bind, released, saved, scratch
 
 #: Fixed value: white space inside a line.
 INNER_SPACE = "[\\x20\\x09\\x0B-\\x0D]+"
+#: Fixed value: characters of scripts without spaces (Thai, Lao, Burmese, Khmer, kana, Han), each a word.
+UNSPACED = "[\\u0E00-\\u0EFF\\u1000-\\u109F\\u1780-\\u17FF\\u3040-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF\\x{20000}-\\x{3FFFF}]"
+#: Limits that take lines of any length: an edit may change a fifth of a line's words at most.
+ANY_LENGTH = {"min_words": 1, "near_words": 5}
 #: Word hashes and weights stay below this, so that sums over a million words fit in a BIGINT.
 MODULUS = 1 << 20
 
 
 def _normal_lines(text: Column) -> Column:
     """The lines, lower case, with one space between words.  The text is put in order once, then cut."""
-    return F.transform(F.split(F.regexp_replace(ascii_lower(text), INNER_SPACE, " "), "\n", -1), lambda x: F.btrim(x, F.lit(" ")))
+    apart = F.when(F.length(text) == F.octet_length(text), text).otherwise(F.regexp_replace(text, UNSPACED, " $0 "))
+    return F.transform(F.split(F.regexp_replace(ascii_lower(apart), INNER_SPACE, " "), "\n", -1), lambda x: F.btrim(x, F.lit(" ")))
 
 
 def _halves(norm: Column, m: Column) -> Column:

@@ -35,7 +35,7 @@ def op4_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return lines.dedup(table(spark, d, "documents").select("doc_id", "text"))
+    return lines.dedup(table(spark, d, "documents").select("doc_id", "text"), **lines.ANY_LENGTH)
 
 
 def op6_main_text(spark: SparkSession, d: str) -> DataFrame:

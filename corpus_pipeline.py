@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand earlier elsewhere go, and documents of which nothing is left."""
-    out = lines.dedup(docs)
+    out = lines.dedup(docs, **lines.ANY_LENGTH)
     left = F.btrim("text", F.lit(SPACES)) != ""
     return out.filter((F.col("lines_removed") == 0) | left).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 

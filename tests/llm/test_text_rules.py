@@ -96,6 +96,21 @@ def test_line_edits(spark):
     assert [i for i, n in got.items() if n] and got[4] == got[6] == got[7] == 0 and got[1] == got[2] == got[3] == got[9] == got[10] == 1
 
 
+def test_lines_any_length(spark, docs, monkeypatch):
+    """The query takes short lines and scripts without spaces."""
+    from chronolith.llm import queries
+
+    rows = [(0, "All rights reserved.\nles.\n\none two three four five\na b c d"), (1, "ALL  rights reserved.\nLes.\n\none two three 4 five\na b c e"), (2, "les.\none two three four five six"), (3, "你好世界今天天气很好\n你好世界"), (4, "你好世界明天天气很好\n你好世间\nสวัสดี"), (5, "你好世界\nสวัสดี"), (6, None)]
+    want = {0: 0, 1: 3, 2: 2, 3: 0, 4: 1, 5: 2, 6: 0}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(queries, "table", lambda *_: df)
+    got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in queries.op5_line_dedup(spark, "").collect()}
+    assert {i: v[1] for i, v in got.items()} == want and got[1][0] == "\na b c e" and got[4][0] == "你好世间\nสวัสดี"
+    pairs = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] != 904}
+    got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in lines.dedup(docs.filter("doc_id != 904"), **lines.ANY_LENGTH).collect()}
+    assert got == deduped(pairs.items(), 1, 5)
+
+
 def test_licenses(spark):
     rows = [
         (0, "Foo\nReleased under the MIT License.\nbar"),
