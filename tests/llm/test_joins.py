@@ -145,6 +145,23 @@ def test_secret_spans(spark, docs, nothing):
     assert secrets.scan(docs).count() == docs.count() and secrets.scan(nothing).count() == 0
 
 
+def test_secret_letters_and_paths(spark):
+    """Random keys of one case, and keys behind a slug in a path."""
+    r = random.Random(8)
+    words = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so up said what its about than into them can only other time new some could these two may first then do any like my now over such our man me even most made after also did many off before must well back through years much where your way down should because long each just state those people too mr how little good world make very year still see own work men day get here old life both between being under three never know same last another while us might great go come since against right used take use place".split()
+    rows = [(i, " ".join(r.choice(words) for _ in range(80))) for i in range(600)]
+    low = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(56))
+    key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    both = key[:15] + "/" + key[15:30] + "+" + key[30:]
+    rows += [(1000, f"a {low} b"), (1001, f"a {low.upper()[::-1]} b"), (1002, f"see /services/T00_x/B-1/{key} now"), (1003, f"see a-b_{both}_c"), (1004, "antidisestablishmentarianisms" * 2)]
+    got = {x["doc_id"]: x["s"] for x in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", secrets.listed("spans").alias("s")).collect()}
+    assert got[1000] == got[1001] == "random:2:58" and got[1004] == ""
+    for i, k in ((1002, key), (1003, both)):
+        at = rows[i - 400][1].index(k)
+        assert f"random:{at}:{at + len(k)}" in got[i].split(",")
+    assert not any(got[i] for i in range(600))
+
+
 def test_randomness():
     r = random.Random(4)
     p = [secrets.randomness("".join(r.choice("0123456789abcdef") for _ in range(64)))[1] for _ in range(400)]
