@@ -1,4 +1,4 @@
-"""Pieces by round trip and exact shares; languages by held-out rows and exact code lengths; pages by hand."""
+"""Pieces by round trip and exact shares; languages by held-out rows and exact code lengths."""
 
 import math
 import random
@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from chronolith.llm import language, maintext, pieces
+from chronolith.llm import language, pieces
 from tests.oracle import DATA
 
 VOCABULARY = pieces.Pieces(open(pieces.MODEL, "rb").read())
@@ -99,43 +99,3 @@ def test_languages(spark, docs, nothing):
     assert odd[900]["lang_pred"] == odd[901]["lang_pred"] == odd[902]["lang_pred"] == "und" and odd[905]["lang_pred"] in model.langs
     none = language.fit(nothing)
     assert language.predict(nothing, none).count() == 0 and {r["lang_pred"] for r in language.predict(docs, none).collect()} == {"und"}
-
-
-PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="home">
-<header class="top"><a href="/">Site</a></header><nav><ul><li>One<li>Two</ul></nav>
-<div class="cookie-notice">We use cookies</div>
-<article><h1>Head &amp; <b>tail</b></h1><p>First <i>pa</i>ra<br>graph&nbsp;x<p>Second &lt;b&gt;
-<aside>side</aside><form><p>mail</p><button>go</button></form><script>var s="</p>";</script>
-<table><tr><td>a<td>b</table><div class="comments"><p>Nice!</p></div></article>
-<!-- gone --><footer>&copy; us</footer></body></html>"""
-
-
-def test_main_text():
-    assert maintext.text_of(PAGE, frozenset()) == "Head & tail\n\nFirst para graph x\n\nSecond <b>\n\na\n\nb"
-    assert maintext.text_of("plain <b>text</b> only", frozenset()) == "plain text only"
-    assert maintext.text_of("", frozenset()) == "" and maintext.text_of("<p>open <script>x", frozenset()) == "open"
-    assert maintext.host_of("HTTPS://user@Site.Example:80/x") == "site.example" and maintext.host_of(None) == ""
-
-
-def test_style_trees(spark):
-    """An unmarked box that says the same on every page goes; the same words in an article stay."""
-    rows = [(i, f"http://h/{i}", f"<body><div class='x'><p>Read our magazine</p></div><div class='t'><p>Story {i} of many</p><p>Read our magazine</p></div></body>") for i in range(30)]
-    rows += [(99, "http://lone/1", "<body><div class='x'><p>Read our magazine</p></div></body>"), (100, None, None)]
-    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    got = {r["page_id"]: r["text"] for r in maintext.extract(df).collect()}
-    assert got[3] == "Story 3 of many\n\nRead our magazine" and got[99] == "Read our magazine" and got[100] == ""
-    assert got == {r["page_id"]: r["text"] for r in maintext.extract(df, most_rows=0).collect()}
-    assert maintext.extract(df.limit(0)).count() == 0
-
-
-def test_style_trees_copies(spark):
-    """Many copies of one page take no heading from it, nor from the different pages of its host."""
-    page = lambda k: f"<body><div class='x'><p>Read our magazine</p></div><div class='t'><h1>Head {k}</h1><p>Story {k} of many</p></div></body>"
-    rows = [(i, "http://h/1", page("a")) for i in range(200)] + [(200 + i, f"http://h/{i}", page(i)) for i in range(30)]
-    rows += [(300 + i, f"http://one/{i}", page("b")) for i in range(25)]
-    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
-    got = {r["page_id"]: r["text"] for r in maintext.extract(df).collect()}
-    assert all(got[i] == "Head a\n\nStory a of many" for i in range(200)) and all(got[200 + i] == f"Head {i}\n\nStory {i} of many" for i in range(30))
-    assert all(got[300 + i] == "Read our magazine\n\nHead b\n\nStory b of many" for i in range(25))
-    nodes = maintext.style_nodes(df, "url", "html").filter("host = 'h' AND kind = 0").groupBy("node").sum("n").collect()
-    assert [r["sum(n)"] for r in nodes] == [31] * 3
