@@ -96,21 +96,22 @@ m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY 1)
 SELECT k.doc_id, n AS n_shingles, component_id FROM k JOIN m ON k.doc_id = m.doc_id"""
 
 
-def _license_sql(threshold: float = 0.9, density: float = 0.25) -> str:
+def _license_sql(threshold: float = 0.9, slack: float = 1.25) -> str:
+    """Every window of a template's length, in the texts that hold enough of its words at all."""
     rows = []
     for label, t in licenses.TEMPLATES:
         words = licenses.word_list(t)
-        rows.append(f"('{label}', {words!r}, {int(len(words) / density)})")
+        rows.append(f"('{label}', {words!r}, {licenses.window(t, slack)})")
     base = " UNION ALL ".join(
         f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i:i + {len(p.split()) - 1}] = {p.split()!r})) - 1 AS spot FROM w" for p, label in licenses.PHRASES.items()
     )
     return f"""
-WITH t(label, words, longest) AS (VALUES {', '.join(rows)}),
+WITH t(label, words, n) AS (VALUES {', '.join(rows)}),
 w AS MATERIALIZED (SELECT doc_id, regexp_extract_all({SQL_LOWER}, '[^{SQL_BREAKS}]+') AS w FROM documents),
 b AS MATERIALIZED ({base}),
 bb AS (SELECT doc_id, count(*) AS n, min(spot) AS f, max(spot) AS l, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM b GROUP BY 1),
-x AS MATERIALIZED (SELECT doc_id, list_distinct(regexp_extract_all(line, '[^{SQL_BREAKS}]+')) AS s FROM (SELECT doc_id, unnest(string_split({SQL_LOWER}, chr(10))) AS line FROM documents)),
-h AS (SELECT doc_id, label, len(list_intersect(s, words)) / len(words) AS share FROM x, t WHERE len(s) <= longest),
+c AS MATERIALIZED (SELECT doc_id, label, words, n, w, unnest(range(1, len(w) + 1)) AS i FROM w, t WHERE len(list_intersect(list_distinct(w), words)) >= {threshold} * len(words) - 1e-9),
+h AS (SELECT doc_id, label, len(list_intersect(w[i:i + n - 1], words)) / len(words) AS share FROM c WHERE list_contains(words, w[i])),
 k AS MATERIALIZED (SELECT doc_id, label, share FROM h WHERE share >= {threshold} - 1e-9),
 a AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM (SELECT doc_id, label FROM b UNION ALL SELECT doc_id, label FROM k) GROUP BY 1),
 s AS (SELECT doc_id, max(share) AS share FROM k GROUP BY 1)

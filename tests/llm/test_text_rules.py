@@ -128,11 +128,47 @@ def test_licenses(spark):
     assert got[0]["labels"] == ["mit"] and (got[0]["n_base"], got[0]["first_word"], got[0]["last_word"]) == (1, 4, 4)
     assert (got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["n_words"]) == (2, 0, 2, 4)
     assert got[2]["labels"] == ["mit"] and got[2]["n_base"] == 0 and got[2]["first_word"] is None and 0.9 <= got[2]["score"] <= 1
-    assert got[3]["labels"] == [] and got[3]["score"] == 0
+    assert got[3]["labels"] == ["proprietary"] and [(b["first_word"], b["share"]) for b in got[3]["blocks"]] == [(27, 1.0)]
     assert got[4]["base_labels"] == ["cc-by"] and got[4]["labels"] == ["cc-by", "cc-by-nc"]
     assert got[5]["score"] == 1.0 and got[6]["n_words"] == got[7]["n_words"] == 0
     assert (got[8]["first_word"], got[8]["n_words"]) == (2, 7)
 
 
+def license_labels(text, threshold=0.9):
+    """Labels and best share of all windows, by the definition."""
+    w = [x for x in re.split(licenses.BREAKS, text.translate(LOW)) if x]
+    found = {x for p, x in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()}
+    base, best = bool(found), 0.0
+    for label, t in licenses.TEMPLATES:
+        own, n = set(licenses.word_list(t)), licenses.window(t)
+        share = max((len(own & set(w[i : i + n])) / len(own) for i in range(len(w))), default=0)
+        if share >= threshold - 1e-9:
+            found.add(label)
+            best = max(best, share)
+    return sorted(found), 1.0 if base else best
+
+
+def test_license_windows(spark):
+    """Notices wrapped, in comments, inside long lines, with words lost or put in, against all windows."""
+    import random
+
+    r = random.Random(7)
+    common = "the of and to in is that for it as was with be by on not he this are or all rights use".split()
+    rows = [(0, "# Permission is hereby granted, free of charge, to any\n# person obtaining a copy of this software and associated\n# documentation files (the Software), to deal in the\n#  Software without restriction"), (1, ""), (2, " \t--"), (3, "reserved " * 3000), (4, "all the rights that one has are reserved")]
+    for i in range(5, 120):
+        label, t = r.choice(licenses.TEMPLATES)
+        w = t.split()
+        for _ in range(r.randrange(0, 5)):
+            k = r.randrange(len(w))
+            w[k : k + r.randrange(2)] = [r.choice(common)]
+        before, after = ([r.choice([*common, f"f{r.randrange(99)}"]) for _ in range(r.randrange(0, 60))] for _ in range(2))
+        rows.append((i, "".join(x + r.choice(" \n") for x in before + w + after)))
+    df = licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "doc_id AS license", "doc_id AS words"))
+    got = {x["doc_id"]: (x["license"]["labels"], round(x["license"]["score"], 9)) for x in df.collect()}
+    want = {i: license_labels(t) for i, t in rows}
+    assert got == {i: (a, round(b, 9)) for i, (a, b) in want.items()} and got[0][0] == ["mit"] and got[4][0] == []
+    assert 60 < sum(bool(a) for a, _ in got.values()) < 118 and df.columns == ["doc_id", "text", "license", "words"]
+
+
 def test_empty(nothing):
     assert quality.assess(nothing).count() == 0 and lines.dedup(nothing).count() == 0 and licenses.scan(nothing).count() == 0
