@@ -3,13 +3,21 @@
 Each document has plain counts (words, symbols, repeated lines, words in
 repeated three-word windows), and a verdict by line frequency: lines are
 normalised (ASCII lower case, runs of white space as one space), hashed, and
-counted by distinct documents for each host.  A line above the host's limit is
+counted by distinct documents for each host.  A line above the host's limit,
+more than ``min_docs`` documents and more than ``share`` of the host's, is
 removed from every document of the host but the earliest that holds it; a
 document that loses more than ``max_lost`` of its words so is depleted, and
 rejected.  ``kept`` returns the others without those lines.
 
-Null text counts as empty, and a null host is a host of its own.  Rows equal in
-id, host and text are one document.
+Rules: a document is what is equal in id, host and text: repeated rows count
+once and share a verdict, and one id may have several documents, in one host or
+more, each judged by itself.  Null text counts as empty, and a null host is a
+host of its own, as is a null id an id.  Of documents with a line, the one with
+the smallest id is the earliest; all of that id keep the line.  Texts without a
+word have zero counts and fail the base rule.  Texts of any length are read
+whole.  An empty table gives none.  ``kept`` returns the columns as they are,
+whatever their names; ``assess`` returns its own.
+
 Nothing is capped: a line's documents are counted by partial sums, so a line
 that a third of all rows hold costs one row for each task.
 """
@@ -19,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.store import SPACE_RUN, SPACES, ascii_lower, bind
+from chronolith.llm.store import SPACE_RUN, SPACES, ascii_lower, bind, saved
 
 #: Fixed value: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -76,20 +84,30 @@ def counts(docs: DataFrame, text_col: str = "text") -> dict[str, Column]:
     }
 
 
+def _text_hash(docs: DataFrame, text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """(doc_id, host, text_hash, rows) of each document."""
+    own = docs.select(docs[id_col].alias("doc_id"), docs[host_col].alias("host"), _text_hash(docs, text_col).alias("text_hash"))
+    return own.groupBy("doc_id", "host", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def _own_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """One row for each document and distinct normalised line, with the words of all its places."""
+    """One row for each document and distinct normalised line, with the words of all its places in all rows."""
     text = F.coalesce(docs[text_col], F.lit(""))
     n_words = F.length(F.col("norm")) - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) + 1
-    each = docs.select(docs[id_col].alias("doc_id"), docs[host_col].alias("host"), F.xxhash64(text).alias("text_hash"), F.explode(_lines(text)).alias("line")).withColumn("norm", _norm(F.col("line")))
+    each = docs.select(docs[id_col].alias("doc_id"), docs[host_col].alias("host"), _text_hash(docs, text_col).alias("text_hash"), F.explode(_lines(text)).alias("line")).withColumn("norm", _norm(F.col("line")))
     keyed = each.select("doc_id", "host", "text_hash", F.xxhash64("norm").alias("h1"), F.crc32("norm").alias("h2"), n_words.cast("bigint").alias("words"))
     return keyed.groupBy("doc_id", "host", "text_hash", "h1", "h2").agg(F.sum("words").alias("words"))
 
 
-def line_limits(lines: DataFrame, docs: DataFrame, host_col: str, min_docs: int, share: float) -> DataFrame:
+def line_limits(lines: DataFrame, documents: DataFrame, min_docs: int, share: float) -> DataFrame:
     """(host, h1, h2, holder) of the lines that more documents of a host hold than its limit."""
     held = lines.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("held"), F.min("doc_id").alias("holder"))
     often = held.filter(F.col("held") > min_docs)
-    hosts = docs.groupBy(docs[host_col].alias("k")).agg(F.count(F.lit(1)).alias("docs"))
+    hosts = documents.groupBy(F.col("host").alias("k")).agg(F.count(F.lit(1)).alias("docs"))
     return often.join(hosts, often["host"].eqNullSafe(hosts["k"])).filter(F.col("held") > F.col("docs") * share).select("host", "h1", "h2", "holder")
 
 
@@ -104,23 +122,23 @@ def assess(
     share: float = 0.001,
     max_lost: float = 0.7,
 ) -> DataFrame:
-    """Counts, removed words and verdict of every row; rows of equal id and text share them."""
-    return _assessed(docs, id_col, text_col, host_col, min_words, max_repeat, min_docs, share, max_lost).drop("gone")
+    """Counts, removed words and verdict of every row; rows of equal id, host and text share them."""
+    return _assessed(docs, id_col, text_col, host_col, min_words, max_repeat, min_docs, share, max_lost).drop("gone", "host")
 
 
 def _assessed(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_words: int, max_repeat: float, min_docs: int, share: float, max_lost: float) -> DataFrame:
-    """As ``assess``, and ``gone``: host and keys of the lines to remove."""
-    lines = _own_lines(docs, id_col, text_col, host_col)
-    limits = line_limits(lines, docs, host_col, min_docs, share).withColumnsRenamed({"host": "k", "h1": "k1", "h2": "k2"})
+    """As ``assess``, and ``host`` and ``gone``: keys of the lines to remove."""
+    documents = saved(_documents(docs, id_col, text_col, host_col), "quality_documents")
+    lines = saved(_own_lines(docs, id_col, text_col, host_col), "quality_lines")
+    limits = saved(line_limits(lines, documents, min_docs, share), "quality_limits").withColumnsRenamed({"host": "k", "h1": "k1", "h2": "k2"})
     hits = lines.join(limits, lines["host"].eqNullSafe(limits["k"]) & (lines["h1"] == limits["k1"]) & (lines["h2"] == limits["k2"]))
     hits = hits.filter(~F.col("doc_id").eqNullSafe(F.col("holder")))
-    lost = hits.groupBy("doc_id", "text_hash").agg(F.sum("words").alias("lost"), F.collect_set(F.struct("host", "h1", "h2")).alias("gone"))
-    same = docs.groupBy(docs[id_col].alias("i"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("t")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    lost = lost.join(same, lost["doc_id"].eqNullSafe(same["i"]) & (lost["text_hash"] == same["t"]), "left")
-    lost = lost.select(F.col("doc_id").alias("k"), F.col("text_hash").alias("th"), F.floor(F.col("lost") / F.coalesce("rows", F.lit(1))).alias("lost"), "gone")
+    key = ("doc_id", "host", "text_hash")
+    lost = hits.groupBy(*key).agg(F.sum("words").alias("lost"), F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    lost = _matched(lost, documents.filter("rows > 1"), key, "rows").withColumn("lost", F.col("lost") / F.coalesce("rows", F.lit(1)))
     c = counts(docs, text_col)
-    own = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("text_hash"), *[v.alias(k) for k, v in c.items()])
-    out = own.join(lost, own["doc_id"].eqNullSafe(lost["k"]) & (own["text_hash"] == lost["th"]), "left")
+    own = docs.select(docs[id_col].alias("doc_id"), docs[host_col].alias("host"), _text_hash(docs, text_col).alias("text_hash"), *[v.alias(k) for k, v in c.items()])
+    out = _matched(own, lost, key, "lost", "gone")
     n, r, gone = F.col("word_counts.n").cast("bigint"), F.col("word_counts.r").cast("bigint"), F.coalesce(F.col("lost"), F.lit(0)).cast("bigint")
     failed = (n < min_words) | (r > n * max_repeat)
     return out.select(
@@ -134,15 +152,24 @@ def _assessed(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_wo
         (~failed & (gone <= n * max_lost)).alias("kept"),
         gone.alias("removed_words"),
         "text_hash",
+        "host",
         "gone",
     )
 
 
-def _without(text: Column, host: Column, gone: Column) -> Column:
-    """The text without the lines whose keys ``gone`` holds for the host."""
-    own = F.transform(F.filter(gone, lambda g: g["host"].eqNullSafe(host)), lambda g: F.struct(g["h1"].alias("h1"), g["h2"].alias("h2")))
+def _matched(left: DataFrame, right: DataFrame, key: tuple[str, ...], *columns: str) -> DataFrame:
+    """``left`` with these columns of the row of ``right`` that has its key, nulls being equal."""
+    right = right.select(*[F.col(k).alias(f"__{k}") for k in key], *columns)
+    same = F.lit(True)
+    for k in key:
+        same = same & left[k].eqNullSafe(right[f"__{k}"])
+    return left.join(right, same, "left").drop(*[f"__{k}" for k in key])
+
+
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the lines of these keys."""
     key = lambda line: bind(_norm(line), lambda x: F.struct(F.xxhash64(x).alias("h1"), F.crc32(x).alias("h2")))
-    return bind(own, lambda o: F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(o, key(x))), "\n"))
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(gone, key(x))), "\n")
 
 
 def kept(
@@ -158,9 +185,13 @@ def kept(
 ) -> DataFrame:
     """The rows of ``docs`` that pass, without the lines above their host's limit; the earliest holder keeps them."""
     found = _assessed(docs, id_col, text_col, host_col, min_words, max_repeat, min_docs, share, max_lost)
-    marks = found.filter(~F.col("kept") | F.col("gone").isNotNull()).dropDuplicates(["doc_id", "text_hash"])
-    marks = marks.select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "text_hash", "kept", "gone")])
-    th = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    both = docs.join(marks, docs[id_col].eqNullSafe(marks["__doc_id"]) & (th == marks["__text_hash"]), "left").filter(F.coalesce("__kept", F.lit(True)))
-    text = F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(_without(docs[text_col], docs[host_col], F.col("__gone")))
+    key = ("doc_id", "text_hash", "host")
+    marks = found.filter(~F.col("kept") | F.col("gone").isNotNull()).select(*key, "kept", "gone").dropDuplicates(list(key))
+    marks = marks.select(*[F.col(c).alias(f"__{c}") for c in marks.columns])
+    own = {"doc_id": docs[id_col], "text_hash": _text_hash(docs, text_col), "host": docs[host_col]}
+    same = F.lit(True)
+    for k in key:
+        same = same & own[k].eqNullSafe(F.col(f"__{k}"))
+    both = docs.join(marks, same, "left").filter(F.coalesce("__kept", F.lit(True)))
+    text = F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(_without(docs[text_col], F.col("__gone")))
     return both.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])

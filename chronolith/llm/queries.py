@@ -121,22 +121,24 @@ FROM w LEFT JOIN bb USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN s USING
 
 
 def _quality_sql(min_words: int = 50, min_docs: int = 20, share: float = 0.001, max_lost: float = 0.7) -> str:
+    """Documents are distinct (id, host, text), numbered by k."""
     space = r"[\x20\x09-\x0D]+"
     return f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
-g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w),
-r AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY 1),
-l AS (SELECT doc_id, source, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
-n AS (SELECT doc_id, source, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{space}', ' ', 'g')) AS line FROM (SELECT doc_id, source, unnest(l) AS line FROM l)),
-o AS (SELECT doc_id, source, line, count(*) * len(string_split(line, ' ')) AS words FROM n GROUP BY 1, 2, 3),
-f AS (SELECT source, line, min(doc_id) AS holder FROM o GROUP BY 1, 2 HAVING count(*) > {min_docs} AND count(*) > {share} * any_value((SELECT count(*) FROM documents x WHERE x.source IS NOT DISTINCT FROM o.source))),
-z AS (SELECT doc_id, sum(words)::BIGINT AS lost FROM o JOIN f ON o.source IS NOT DISTINCT FROM f.source AND o.line = f.line WHERE doc_id <> holder GROUP BY 1)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '{space}', '', 'g'))::BIGINT AS word_chars,
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, * FROM (SELECT doc_id, source, coalesce(text, '') AS text, count(*) AS copies FROM documents GROUP BY ALL)),
+w AS (SELECT k, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
+g AS (SELECT k, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w),
+r AS (SELECT k, count(DISTINCT p) AS r FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY k, g) AS c FROM g) WHERE c > 1) GROUP BY 1),
+l AS (SELECT k, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+n AS MATERIALIZED (SELECT k, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{space}', ' ', 'g')) AS line FROM (SELECT k, unnest(l) AS line FROM l)),
+h AS (SELECT source, count(*) AS total FROM d GROUP BY 1),
+f AS (SELECT d.source, line, min(doc_id) AS holder, count(DISTINCT k) AS held FROM n JOIN d USING (k) GROUP BY 1, 2),
+b AS (SELECT f.source, line, holder FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source WHERE held > {min_docs} AND held > {share} * total),
+z AS (SELECT k, sum(len(string_split(n.line, ' ')))::BIGINT AS lost FROM n JOIN d USING (k) JOIN b ON b.source IS NOT DISTINCT FROM d.source AND b.line = n.line WHERE doc_id <> holder GROUP BY 1),
+o AS (SELECT doc_id, copies, len(w)::BIGINT AS n_words, length(regexp_replace(text, '{space}', '', 'g'))::BIGINT AS word_chars,
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r, 0) AS n_repeat_words,
-  (len(w) < {min_words} OR 100 * coalesce(r, 0) > 50 * len(w)) AS base_failed,
-  NOT (len(w) < {min_words} OR 100 * coalesce(r, 0) > 50 * len(w)) AND coalesce(lost, 0) <= {max_lost} * len(w) AS kept, coalesce(lost, 0)::BIGINT AS removed_words
-FROM d JOIN w USING (doc_id) JOIN l ON l.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN z ON z.doc_id = d.doc_id"""
+  (len(w) < {min_words} OR 100 * coalesce(r, 0) > 50 * len(w)) AS base_failed, coalesce(lost, 0)::BIGINT AS removed_words
+  FROM d JOIN w USING (k) JOIN l USING (k) LEFT JOIN r USING (k) LEFT JOIN z USING (k))
+SELECT * EXCLUDE (copies, c), NOT base_failed AND removed_words <= {max_lost} * n_words AS kept FROM (SELECT *, unnest(range(copies)) AS c FROM o)"""
 
 
 def oracle_sql() -> dict[str, str]:

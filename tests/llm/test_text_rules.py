@@ -40,6 +40,53 @@ def test_quality_depleted(spark):
     assert sorted(r["doc_id"] for r in quality.kept(df, min_docs=3, share=0.01).collect()) == [0, 10, 11, 12, 13, 14, 20]
 
 
+def assessed(rows, min_docs=20, share=0.001, max_lost=0.7):
+    """(removed words, kept) of each document (id, host, text), by the definition."""
+    docs = dict.fromkeys((i, h, t or "") for i, t, h in rows)
+    norm = lambda line: " ".join(WORD.findall(line.translate(LOW)))
+    held, total = defaultdict(set), Counter(h for _, h, _ in docs)
+    for d in docs:
+        for line in d[2].split("\n"):
+            if norm(line):
+                held[d[1], norm(line)].add(d)
+    above = {k: min(d[0] for d in v) for k, v in held.items() if len(v) > min_docs and len(v) > share * total[k[0]]}
+    out = {}
+    for i, h, t in docs:
+        lost = sum(len(norm(x).split()) for x in t.split("\n") if above.get((h, norm(x)), i) != i)
+        n, *_, again = counts(t)
+        out[i, h, t] = lost, n >= 50 and 2 * again <= n and lost <= max_lost * n
+    return out
+
+
+def test_quality_verdicts(spark):
+    """Repeated rows, ids with several texts, one text in several hosts, both sides of the limits."""
+    import random
+
+    r = random.Random(9)
+    plates = [" ".join(f"plate{j}y{k}" for k in range(r.randrange(1, 25))) for j in range(8)]
+    rows = []
+    for i in range(260):
+        own = [" ".join(f"own{i}x{j}w{k}" for k in range(r.randrange(1, 20))) for j in range(r.randrange(1, 6))]
+        some = r.choices(plates, k=r.randrange(0, 9))
+        rows.append((i % 230, "\n".join(r.sample(own + some, len(own + some))), r.choice(["a", "a", "b", None])))
+    rows += [(500 + i, "\n".join(plates), "c") for i in range(30)] + [(500, "\n".join(plates), "d")] + rows[:40] + rows[100:110] * 3
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").selectExpr("*", "doc_id AS host", "doc_id AS gone", "doc_id AS rows")
+    for limits in ({}, {"min_docs": 3, "share": 0.3}, {"min_docs": 1, "share": 0.0, "max_lost": 0.3}):
+        want = assessed(rows, **limits)
+        got = quality.assess(df, **limits)
+        assert sorted((x["doc_id"], x["removed_words"], x["kept"]) for x in got.collect()) == sorted((i, *want[i, h, t or ""]) for i, t, h in rows)
+        left = Counter(x["doc_id"] for x in quality.kept(df, **limits).collect())
+        assert left == Counter(i for i, t, h in rows if want[i, h, t or ""][1])
+        assert any(not k and n for n, k in want.values()) or not limits
+
+
+def test_quality_two_hosts(spark):
+    text = "\n".join(" ".join(f"w{j}x{k}" for k in range(20)) for j in range(3))
+    df = spark.createDataFrame([(i, text, "a") for i in range(30)] + [(29, text, "b")], "doc_id bigint, text string, source string")
+    got = sorted((r["doc_id"], r["removed_words"], r["kept"]) for r in quality.assess(df).collect())
+    assert got == [(0, 0, True), *[(i, 60, False) for i in range(1, 29)], (29, 0, True), (29, 60, False)]
+
+
 def test_quality_lines_go(spark):
     """Lines above the limit leave the text of all but the earliest holder, in the pipeline too."""
     import corpus_pipeline
