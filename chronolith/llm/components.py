@@ -1,11 +1,15 @@
-"""Connected components of links, on the cluster."""
+"""Connected components of links, on the cluster.
+
+Repeated links and links of a node to itself change nothing; no links give no
+rows; links with a null end are left out.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.store import saved
+from chronolith.llm.store import dropped, saved
 
 
 def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -16,6 +20,7 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     the last; nothing but its count of changes reaches the driver.  The minimum
     over a hub's neighbours is a partial aggregate.
     """
+    links = links.filter("a IS NOT NULL AND b IS NOT NULL")
     both = saved(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), "labels")
     for _ in range(most_rounds):
@@ -24,7 +29,10 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
         up = labels.select(F.col("node").alias("n"), F.col("comp").alias("c"))
         new = saved(met.join(up, met["comp"] == up["n"]).select("node", "old", F.least("comp", "c").alias("comp")), "labels")
         changed = new.filter("comp != old").limit(1).count()
-        labels = new.select("node", "comp")
+        dropped(labels)
+        path, labels = new.scratch_path, new.select("node", "comp")
+        labels.scratch_path = path
         if not changed:
+            dropped(both)
             return labels
     raise RuntimeError(f"no end after {most_rounds} rounds")

@@ -5,7 +5,8 @@ document has its whole sequence as the one member.  Two documents link when
 their Jaccard similarity reaches the threshold, that is, when they share at
 least T members.
 
-1. Rows of equal sets are one class, with the smallest id as representative.
+1. Rows of equal sets are one class, a node, with the smallest id as
+   representative.
 2. Members are ordered rare before frequent.  Frequent ones, the long inverted
    lists, are counted over all classes: each batch counts exactly and reports
    what it saw ``least_seen`` times or more.  The order need only be the same
@@ -18,14 +19,24 @@ least T members.
    found join most of a group of near copies.  For members of different
    components all pairs of the lists are counted, and those that reach the
    number of shared members that T needs within the prefixes are candidates.
-5. Candidates are verified by DivideSkip: the members of a query are lists over
-   its candidates; the longest lists are set aside, the short ones merged by a
-   heap, and documents that reached ``T - L`` are sought in the long lists by
+5. Each query meets its candidates in blocks of at most ``BLOCK``, so that its
+   text travels once for each block and a query with very many is spread over
+   tasks.  A block is searched by DivideSkip: inverted lists of the query's
+   members over the block; the longest lists are set aside, the short ones merged
+   by a heap, and documents that reached ``T - L`` are sought in the long lists by
    binary search.
 
 Steps 3 and 4 lose no link between different components, so the components are
-exact.  Null and empty texts have no set and link with nothing.  Rows of one id
-are one node.
+exact.
+
+Rules: null and empty texts, and texts of white space, have no set and link with
+nothing.  Ids are whole numbers; a null id links with nothing.  Repeated rows are
+one.  Where an id has several texts with words, each is a node, and the id joins
+them: what one reaches the others reach; a row without words stays by itself.  ``one_of_each`` judges texts and not ids: of each
+group of linked texts the one with the smallest id stays, the first by digest
+among ties, and no other text goes with a repeated id.  Texts of any length are
+read whole.  An empty table gives none.  ``one_of_each`` returns all columns as
+they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,10 +53,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm.components import components
-from chronolith.llm.store import released, saved, scratch, small_batches
+from chronolith.llm.store import discard, dropped, released, saved, scratch, small_batches, whole_id
 
 FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
+#: Candidates that a query meets at once.
+BLOCK = 512
+
 
 def member_hashes(text: str | None, n: int) -> np.ndarray:
     """The sorted distinct hashes of a text's word n-grams."""
@@ -108,15 +122,15 @@ def divide_skip(query: np.ndarray, others: list[np.ndarray], need: list[int], mu
 
 
 def _sizes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_members, digest) of every row."""
+    """(doc_id, th, n_members, digest) of every row; th is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [member_hashes(t.as_py(), n) for t in b.column(1)]
+            sets = [member_hashes(t.as_py(), n) for t in b.column(2)]
             digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary())], names=["doc_id", "n_members", "digest"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary())], names=["doc_id", "th", "n_members", "digest"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_members bigint, digest binary")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id bigint, th bigint, n_members bigint, digest binary")
 
 
 def frequent_members(texts: DataFrame, n: int, least_seen: int, most: int) -> np.ndarray:
@@ -201,32 +215,48 @@ def _reach(n1: Column, left1: Column, n2: Column, left2: Column, percent: int) -
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link.  Rows come sorted by query; a run of one query is searched together."""
-    asked = saved(texts.join(pairs.select(F.col("a").alias("doc")).distinct(), "doc").select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "ngram_asked")
-    b = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
-    # Texts lie in buckets by document, so only the pairs move to them; a query with very many
-    # candidates is split by AQE, as both sides of the second join are shuffled for it.
-    both = pairs.join(b, "b").join(asked, "a").select("a", "b", "text_a", "text_b")
+    """The pairs (a, b) that link.  Rows come sorted by query and block, the query's text first."""
+    n_blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
+    asked = saved(pairs.groupBy("a").agg(n_blocks), "ngram_asked")
+    # Texts lie in buckets by document, so only the pairs move to them, and each text then once to its query's block.
+    mine = pairs.join(asked, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "b")
+    mine = mine.join(texts.withColumnRenamed("doc", "b"), "b").select("a", "block", "b", "text")
+    own = asked.join(texts.withColumnRenamed("doc", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("bigint").alias("b"), "text")
+    both = mine.unionByName(own).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, query = None, None
+        now: tuple[int, int] | None = None
+        query = np.zeros(0, dtype=np.uint64)
+        ids: list[int] = []
+        sets: list[np.ndarray] = []
+        held = 0
+
+        def searched() -> pa.RecordBatch:
+            good = divide_skip(query, sets, [needed(len(query), len(s), percent) for s in sets])
+            found = [i for i, g in zip(ids, good, strict=True) if g]
+            ids.clear()
+            sets.clear()
+            return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["a", "b"])
+
         for batch in batches:
-            ids, others = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
-            good: list[bool] = []
-            while at < len(ids):
-                end = at
-                while end < len(ids) and ids[end] == ids[at] and end - at < 512:
-                    end += 1
-                if query is None or ids[at] != last:
-                    last, query = ids[at], member_hashes(batch.column(2)[at].as_py(), n)
-                sets = [member_hashes(batch.column(3)[i].as_py(), n) for i in range(at, end)]
-                good += divide_skip(query, sets, [needed(len(query), len(s), percent) for s in sets])
-                at = end
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).filter(mask), pa.array(others, pa.int64()).filter(mask)], names=["a", "b"])
-
-    return both.mapInArrow(run, "a bigint, b bigint")
+            for a, block, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if b is None:
+                    if ids:
+                        yield searched()
+                    now, query, held = (a, block), member_hashes(text.as_py(), n), 0
+                    continue
+                ids.append(b)
+                sets.append(member_hashes(text.as_py(), n))
+                held += len(sets[-1])
+                if len(ids) >= BLOCK or held >= 1 << 21:  # a block by chance larger, or of very long texts, is searched in parts
+                    yield searched()
+                    held = 0
+        if ids:
+            yield searched()
+
+    good = saved(both.mapInArrow(run, "a bigint, b bigint"), "ngram_links")
+    dropped(asked)
+    return good
 
 
 def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -242,29 +272,48 @@ def _open(lists: DataFrame, percent: int) -> DataFrame:
     return by.filter("low != high").select("member", *[F.col(f"p.{c}").alias(f"{c}_p") for c in ("doc", "n", "left", "comp")])
 
 
-def _bucketed(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, str]:
-    """The texts of the representatives, in buckets by document: a table under the shared folder."""
-    spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), reps.count() // 20_000)
-    name = f"ngram_texts_{uuid.uuid4().hex}"
-    own = docs.repartition(n, "doc_id").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    own.select(F.col("doc_id").alias("doc"), "text").write.bucketBy(n, "doc").option("path", scratch(spark, "ngram_texts")).saveAsTable(name)
+def _bucketed(rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, str, str]:
+    """The text of each node, in buckets by node: a table under the shared folder, its name and path."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), classes.count() // 20_000)
+    name, path = f"ngram_texts_{uuid.uuid4().hex}", scratch(spark, "ngram_texts")
+    # Most nodes have their representative's id as number; the few others are told by id and text.
+    other = classes.filter("node != rep").select(F.col("rep").alias("r"), F.col("th").alias("t"), "node")
+    numbered = rows.join(other, (rows["doc_id"] == other["r"]) & (rows["th"] == other["t"]), "left").select(F.coalesce("node", "doc_id").alias("doc"), "th", "text")
+    reps = classes.select(F.col("node").alias("doc"), F.col("th").alias("own"))
+    own = numbered.repartition(n, "doc").join(reps, "doc").filter(F.col("th").bitwiseXOR(F.col("own")) == 0)  # no key of the join: it would move the texts again
+    own.dropDuplicates(["doc"]).select("doc", "text").write.bucketBy(n, "doc").option("path", path).saveAsTable(name)
     released(spark)
-    return spark.table(name), name
+    return spark.table(name), name, path
+
+
+def _classes(sizes: DataFrame) -> DataFrame:
+    """(digest, rep, th, node) of each distinct set: the smallest id that has it, with its text's hash, and the node's number.
+
+    A node's number is its id, but where an id has several sets: those are numbered below all ids.
+    """
+    some = sizes.filter("n_members > 0 AND doc_id IS NOT NULL")
+    several = some.groupBy(F.col("doc_id").alias("rep")).agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low != high").select("rep", F.lit(True).alias("several"))
+    least = sizes.agg(F.min("doc_id")).first()[0] or 0
+    found = some.groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("m")).select("digest", F.col("m.doc_id").alias("rep"), F.col("m.th").alias("th"))
+    number = F.when(F.col("several"), F.lit(least).cast("bigint") - 1 - F.monotonically_increasing_id()).otherwise(F.col("rep"))
+    return found.join(several, "rep", "left").select("digest", "rep", "th", number.alias("node"))
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, least_seen: int = 8, most_frequent: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sizes, classes, labels): size and digest of each row, representative of each digest, components of linked representatives."""
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, least_seen: int = 8, most_frequent: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sizes, classes, links, labels): size and digest of each row, nodes, linked nodes, and their components."""
     small_batches(docs.sparkSession)
-    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
+    rows = docs.select(whole_id(docs, id_col).alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("th"))
     sizes = saved(_sizes(rows, n), "ngram_sizes")
-    classes = saved(sizes.filter("n_members > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "ngram_classes")
-    texts, name = _bucketed(rows, classes)
+    classes = saved(_classes(sizes), "ngram_classes")
+    texts, name, path = _bucketed(rows, classes)
     entries = saved(_entries(texts, n, percent, frequent_members(texts, n, least_seen, most_frequent)), "ngram_entries")
-    lists = saved(_shared_only(entries.filter("NOT long")).unionByName(entries.filter("long")).select("member", "doc", "n").distinct(), "ngram_lists")
+    shared = saved(_shared_only(entries.filter("NOT long")).unionByName(entries.filter("long")).select("member", "doc", "n").distinct(), "ngram_shared")
+    dropped(entries)
     # Two prefixes can share no more than either has in lists.
-    left = lists.groupBy("doc").agg(F.count(F.lit(1)).cast("int").alias("left"))
-    lists = saved(lists.join(left, "doc").select("member", "doc", "n", "left"), "ngram_lists")
+    left = shared.groupBy("doc").agg(F.count(F.lit(1)).cast("int").alias("left"))
+    lists = saved(shared.join(left, "doc").select("member", "doc", "n", "left"), "ngram_lists")
+    dropped(shared)
     found: DataFrame | None = None
     labels: DataFrame | None = None
     for star in (True, False):
@@ -277,27 +326,43 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
             own = own.join(opened.select("member"), "member", "left_semi")
             other = own.select("member", *[F.col(c).alias(f"{c}_p") for c in ("doc", "n", "left", "comp")])
             near = own.join(other, "member").filter((F.col("doc_p") < F.col("doc")) & (F.col("comp") != F.col("comp_p")) & _reach(F.col("n"), F.col("left"), F.col("n_p"), F.col("left_p"), percent))
-            # Sizes are keys too: the texts of a repeated id need different counts.
             counted = near.groupBy(F.col("doc_p").alias("a"), F.col("doc").alias("b"), "n_p", "n").agg(F.count(F.lit(1)).alias("c"))
-            pairs = counted.filter(F.col("c") >= _need(F.col("n"), F.col("n_p"), percent)).select("a", "b").distinct()
-        good = saved(_verified(saved(pairs, "ngram_pairs"), texts, n, percent), "ngram_links")
+            pairs = counted.filter(F.col("c") >= _need(F.col("n"), F.col("n_p"), percent)).select("a", "b")
+        pairs = saved(pairs, "ngram_pairs")
+        good = _verified(pairs, texts, n, percent)
+        dropped(pairs)
         found = good if found is None else found.unionByName(good)
         if labels is None or good.limit(1).count():
             labels = components(found)
+    dropped(lists)
     docs.sparkSession.sql(f"DROP TABLE {name}")
-    return sizes, classes, labels
+    discard(path)
+    return sizes, classes, found, labels
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, **options) -> DataFrame:
     """(doc_id, n_members, component_id) of every row."""
-    sizes, classes, labels = links(docs, id_col, text_col, n, percent, **options)
-    own = classes.join(labels, classes["rep"] == labels["node"], "left").select(F.col("digest").alias("d"), F.coalesce("comp", "rep").alias("comp"))
+    sizes, classes, found, labels = links(docs, id_col, text_col, n, percent, **options)
+    held = sizes.filter("n_members > 0 AND doc_id IS NOT NULL").select("doc_id", "digest").distinct().join(classes, "digest")
+    joined = held.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a != z").select(F.col("doc_id").alias("d"), "a")
+    joined = saved(held.join(joined, held["doc_id"] == joined["d"]).filter("a != node").select("a", F.col("node").alias("b")), "ngram_joined")
+    if joined.limit(1).count():
+        labels = components(found.unionByName(joined))
+    own = classes.join(labels, classes["node"] == labels["node"], "left").select("digest", "rep", F.coalesce("comp", classes["node"]).alias("comp"))
+    least = own.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    own = own.join(least, "comp").select(F.col("digest").alias("d"), "component_id")
     out = sizes.join(own, sizes["digest"] == own["d"], "left")
-    return out.select("doc_id", "n_members", F.coalesce("comp", "doc_id").alias("component_id"))
+    known = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "n_members", F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, **options) -> DataFrame:
-    """The rows of ``docs`` that come first in their component, in the order of id; repeated rows stay together."""
-    groups = grouped(docs, id_col, text_col, n, percent, **options)
-    gone = groups.filter("component_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of ``docs`` whose text comes first in its group of linked texts, by id; repeated rows stay together."""
+    sizes, classes, _, labels = links(docs, id_col, text_col, n, percent, **options)
+    own = classes.join(labels, classes["node"] == labels["node"], "left").select("digest", "rep", F.coalesce("comp", classes["node"]).alias("comp"))
+    first = own.groupBy("comp").agg(F.min(F.struct("rep", "digest")).alias("f"))
+    own = own.join(first, "comp").select(F.col("digest").alias("d"), "f")
+    rows = sizes.filter("doc_id IS NOT NULL").join(own, sizes["digest"] == own["d"])
+    gone = rows.filter((F.col("f.digest") != F.col("digest")) | (F.col("f.rep") != F.col("doc_id")))
+    gone = saved(gone.select(F.col("doc_id").alias("__gone"), F.col("th").alias("__th")).distinct(), "ngram_gone")
+    return docs.join(gone, (docs[id_col] == gone["__gone"]) & (F.xxhash64(docs[text_col]) == gone["__th"]), "left_anti")

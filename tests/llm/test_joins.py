@@ -75,6 +75,33 @@ def test_ngram_sizes(spark, seen):
     assert got == {i: i - (i % 2 and 100 * len(sets[i - 1] & sets[i]) >= 85 * len(sets[i - 1] | sets[i])) for i in sets}
 
 
+def test_ngram_repeated_ids(spark):
+    """An id with several texts joins what they reach; of texts none is lost."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    for rows in ([(3, a), (5, a), (5, b), (4, b)], [(3, a), (5, a), (5, b), (9, b)], [(7, a), (7, b), (7, a), (6, c), (8, c + " d"), (8, None), (None, a), (9, "")]):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "doc_id AS node", "doc_id AS th", "doc_id AS comp")
+        got = [(x["doc_id"], x["component_id"]) for x in ngramjoin.grouped(df).collect()]
+        known = reachable([(i, t) for i, t in rows if i is not None], 4, 85)
+        assert sorted(got, key=str) == sorted(((i, known.get(i) if shingles(t, 4) else i) for i, t in rows), key=str)
+        kept = ngramjoin.one_of_each(df, n=4, percent=85)
+        assert kept.columns == df.columns
+        left = sorted(((x["doc_id"], x["text"]) for x in kept.collect()), key=str)
+        want = [(3, a), (4 if (4, b) in rows else 5, b)] if len(rows) == 4 else [(6, c), (7, a), (7, a), (7, b), (8, None), (9, ""), (None, a)]
+        assert left == sorted(want, key=str)
+    with pytest.raises(TypeError):
+        ngramjoin.grouped(spark.createDataFrame([("x", a)], "doc_id string, text string"))
+
+
+def test_ngram_blocks(spark, monkeypatch):
+    """A query with more candidates than a block."""
+    monkeypatch.setattr(ngramjoin, "BLOCK", 7)
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(100)]
+    rows = [(i, " ".join(base[:-1] + [f"e{i}"]) if i else " ".join(base)) for i in range(60)] + [(100 + i, " ".join(base[:40] + [f"x{i}y{r.randrange(9)}z{j}" for j in range(60)])) for i in range(20)]
+    got = {x["doc_id"]: x["component_id"] for x in ngramjoin.grouped(spark.createDataFrame(rows, "doc_id bigint, text string"), least_seen=2).collect()}
+    assert got == reachable(rows, 4, 85)
+
+
 def test_divide_skip():
     r = np.random.default_rng(1)
     for _ in range(50):
