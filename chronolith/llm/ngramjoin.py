@@ -49,11 +49,11 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.llm.components import components
-from chronolith.llm.store import discard, dropped, released, saved, scratch, small_batches, whole_id
+from chronolith.llm.store import SPACES, discard, dropped, released, saved, scratch, small_batches, whole_id
 
 FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
@@ -279,10 +279,12 @@ def _bucketed(rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, str, str]
     name, path = f"ngram_texts_{uuid.uuid4().hex}", scratch(spark, "ngram_texts")
     # Most nodes have their representative's id as number; the few others are told by id and text.
     other = classes.filter("node != rep").select(F.col("rep").alias("r"), F.col("th").alias("t"), "node")
-    numbered = rows.join(other, (rows["doc_id"] == other["r"]) & (rows["th"] == other["t"]), "left").select(F.coalesce("node", "doc_id").alias("doc"), "th", "text")
-    reps = classes.select(F.col("node").alias("doc"), F.col("th").alias("own"))
-    own = numbered.repartition(n, "doc").join(reps, "doc").filter(F.col("th").bitwiseXOR(F.col("own")) == 0)  # no key of the join: it would move the texts again
-    own.dropDuplicates(["doc"]).select("doc", "text").write.bucketBy(n, "doc").option("path", path).saveAsTable(name)
+    # Rows of an id without others hold one set, if any: each of their texts stands for it.
+    numbered = rows.join(other, (rows["doc_id"] == other["r"]) & (rows["th"] == other["t"]), "left").select(F.coalesce("node", "doc_id").alias("doc"), "text")
+    own = numbered.filter(F.btrim("text", F.lit(SPACES)) != "").repartition(n, "doc").join(classes.select(F.col("node").alias("doc")), "doc")  # a semi join would be pushed below, and the texts move twice
+    once = Window.partitionBy("doc").orderBy("doc")  # repeated rows, of one id and text
+    own = own.withColumn("k", F.row_number().over(once)).filter("k = 1")
+    own.select("doc", "text").write.bucketBy(n, "doc").option("path", path).saveAsTable(name)
     released(spark)
     return spark.table(name), name, path
 
