@@ -8,8 +8,9 @@ timestamp column, because only a predicate on the raw column reaches Parquet.
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta
+from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,14 +45,23 @@ def period_bucket(t: Column | str, unit: str) -> Column:
     return F.call_function("div", t, F.lit(divisor(unit)).cast("bigint"))
 
 
+def _local(x: datetime) -> datetime:
+    """Without a zone: one that has a zone is told in the session's, UTC without a session."""
+    if x.tzinfo is None:
+        return x
+    spark = SparkSession.getActiveSession()
+    zone = spark.conf.get("spark.sql.session.timeZone") if spark else "UTC"
+    return x.astimezone(ZoneInfo(zone)).replace(tzinfo=None)
+
+
 def to_datetime(x: Instant) -> datetime | None:
     """A query bound as a datetime; None for digits that are no calendar instant."""
     if isinstance(x, datetime):
-        return x.replace(tzinfo=None)
+        return _local(x)
     if isinstance(x, date):
         return datetime(x.year, x.month, x.day)
     if isinstance(x, str):
-        return datetime.fromisoformat(x)
+        return _local(datetime.fromisoformat(x))
     try:
         return datetime.strptime(f"{x:014d}", "%Y%m%d%H%M%S")
     except ValueError:

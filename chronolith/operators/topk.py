@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronolith.functions.encoding import Axis, Instant, to_encoded
 
@@ -38,10 +39,18 @@ def slot_topk_counts(df: DataFrame, key: str, t: str, start: Instant, end: Insta
 def slot_topk(
     df: DataFrame, key: str, t: str, start: Instant, end: Instant, k: int, order: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One whole row for each such key: its earliest, ties broken by ``order`` and then by the other columns."""
+    """One whole row for each such key: its earliest, ties broken by ``order`` and then by the other columns that have an order."""
     slot = _slot(df, t, start, end)
     keys = _counts(slot, key, k).select(key)
-    rest = [c for c in slot.columns if c not in (t, *order)]
-    first = F.min(F.struct(*[F.col(c) for c in (t, *order, *rest)])).alias("__first")
+    rest = [f.name for f in slot.schema if f.name not in (t, *order) and _ordered(f.dataType)]
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in slot.columns]), F.struct(*[F.col(f"`{c}`") for c in (t, *order, *rest)])).alias("__first")
     rows = slot.join(keys, key, "left_semi").groupBy(key).agg(first)
     return rows.select(*[F.col("__first")[c].alias(c) for c in slot.columns])
+
+
+def _ordered(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_ordered(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _ordered(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))

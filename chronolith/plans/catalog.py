@@ -77,6 +77,78 @@ def _interval_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return engine.frame(df).interval_find("st", *SPAN)
 
 
+def _open_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Encoded intervals, some without an end, some with one that is no instant, from a written index."""
+    from chronolith.plans.storage import scratch
+    from chronolith.sources import layout
+
+    key = F.col("l_orderkey") % 50
+    ed = F.when(key == 0, F.lit(99999999999999)).when(key == 1, encode("ed") + 99).otherwise(encode("ed"))
+    df, path = intervals(spark, d).select("l_orderkey", "l_linenumber", encode("st").alias("st"), ed.alias("ed")), scratch(spark, "open_ends")
+    layout.write(df, path, "spans", "interval_tree", ["st", "ed"], "year")
+    engine = Engine(spark)
+    engine.indexes.load(path, df)
+    return engine.frame(df).interval_find("st", *SPAN)
+
+
+def _lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """What the registry says at each step of an index's life."""
+    from pyspark import StorageLevel
+
+    engine, df = Engine(spark), events(spark, d)
+    df.createOrReplaceTempView("lifecycle_events")
+    own, said = engine.indexes, []
+    note = lambda step: said.append((step, own.show().count(), engine.has_index("lifecycle_events", "a"), own.is_empty()))
+    note("start")
+    t = spark.table("lifecycle_events")
+    engine.index_table("lifecycle_events", "HashType", "a", ["ts"], "day")
+    engine.index_table("lifecycle_events", "hash", "b", ["value"])
+    engine.table("lifecycle_events").index("interval", "c", ["ts", "value"])
+    note("created")
+    own.set_storage_level(t, "a", StorageLevel.DISK_ONLY)
+    said.append((f"level {own.lookup(t, 'a').level == StorageLevel.DISK_ONLY}", own.show(t).count(), own.has(t), own.is_empty()))
+    own.drop_by_name(t, "b")
+    note("dropped by name")
+    own.drop_by_columns(t, ["ts", "value"])
+    note("dropped by columns")
+    said.append((f"tried {own.try_drop_by_name(t, 'b')} {own.try_drop(t)} {own.try_drop(t)}", 0, own.has(t), own.is_empty()))
+    engine.table("lifecycle_events").index("hash", "a", ["ts"])
+    own.drop(t)
+    note("dropped")
+    engine.table("lifecycle_events").index("hash", "a", ["ts"])
+    own.clear()
+    note("cleared")
+    return spark.createDataFrame(said, "step string, n int, has_a boolean, empty boolean").withColumn("n", F.col("n").cast("bigint"))
+
+
+def _points_text(spark: SparkSession, d: str) -> DataFrame:
+    """The smallest attribute of a window, from points in text."""
+    from chronolith.plans.storage import scratch
+
+    path = scratch(spark, "points")
+    points = events(spark, d).select(F.concat_ws(",", encode("ts"), "user_id", "event_id", (F.col("user_id") * 7) % 101 - 50, F.lit(1), F.lit("x")).alias("value"))
+    points.unionByName(spark.createDataFrame([("bad,1",), ("",)], "value string")).write.text(path)
+    return Engine(spark).read_points(path).min("attr3", "time", *WINDOW)
+
+
+def _intervals_text(spark: SparkSession, d: str) -> DataFrame:
+    from chronolith.plans.storage import scratch
+
+    path = scratch(spark, "intervals")
+    intervals(spark, d).select(F.concat_ws(",", "l_orderkey", encode("st"), encode("ed"), "l_linenumber", F.lit(" 3")).alias("value")).write.text(path)
+    return Engine(spark).read_intervals(path).interval_find(["event_time_st", "event_time_ed"], *SPAN)
+
+
+def _sql(call: str, **given) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        engine = Engine(spark)
+        (intervals if "ed" in given else events)(spark, d).createOrReplaceTempView("sql_rows")
+        engine.sql_functions("found", "sql_rows", **given)
+        return spark.sql(f"SELECT * FROM {call}")
+
+    return run
+
+
 def _listing(spark: SparkSession, d: str) -> DataFrame:
     engine, df = Engine(spark), events(spark, d)
     engine.frame(df).index("hash", "by_time", ["ts"], "day")
@@ -113,6 +185,18 @@ def queries() -> dict[str, Query]:
         "interval_find_indexed": lambda s, d: Engine(s).frame(i(s, d)).index("steid", "spans", ["st", "ed"]).interval_find("st", *SPAN),
         "interval_index_roundtrip": _interval_roundtrip,
         "in_time": lambda s, d: search.in_time(_table(s, d, "nation").select("n_nationkey", "n_name"), "n_nationkey", 3, 9),
+        "in_time_text": lambda s, d: search.in_time(_table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, F.regexp_replace("o_orderpriority", "-.*", "")).otherwise("none").alias("code")), "code", 2, 4),
+        "interval_index_open_ends": _open_ends,
+        "index_lifecycle": _lifecycle,
+        "points_from_text": _points_text,
+        "intervals_from_text": _intervals_text,
+        "sql_range": _sql(f"found_range({DAY[0]}, {DAY[1]})", t="ts"),
+        "sql_max": _sql(f"found_max({WINDOW[0]}, {WINDOW[1]})", t="ts", value="value"),
+        "sql_topk": _sql(f"found_topk({WINDOW[0]}, {WINDOW[1]}, 10)", t="ts", key="user_id"),
+        "sql_at": _sql(f"found_at({AT})", t="st", ed="ed"),
+        "sql_interval": _sql(f"found_interval({SPAN[0]}, {SPAN[1]})", t="st", ed="ed"),
+        "window_mean_tiny": lambda s, d: window_ops.window_mean(e(s, d).select("event_id", "ts", (F.col("value") * 1e-12).alias("tiny")), "tiny", "ts", *WINDOW),
+        "window_mean_wide": lambda s, d: window_ops.window_mean(e(s, d).select("event_id", "ts", (F.col("value") * F.when(F.col("event_id") % 2 == 0, 1e30).otherwise(1e-6)).alias("wide")), "wide", "ts", *WINDOW),
         "full_scan": lambda s, d: search.full_scan(e(s, d)),
         "window_max": lambda s, d: window_ops.window_max(e(s, d), "value", "ts", *WINDOW),
         "window_min": lambda s, d: window_ops.window_min(e(s, d), "value", "ts", *WINDOW),
@@ -134,6 +218,7 @@ def oracle_sql() -> dict[str, str]:
     span = f"SELECT * FROM {INTERVALS} WHERE st < {_at(SPAN[1])} AND ed >= {_at(SPAN[0])}"
     found = f"SELECT {EVENT} FROM events WHERE {day}"
     w = f"WITH w AS (SELECT {EVENT} FROM events WHERE {window}) SELECT * FROM w WHERE "
+    digits = lambda c: f"CAST(strftime({c}, '%Y%m%d%H%M%S') AS BIGINT)"
     exact = "CAST(value AS DECIMAL(38,10))"
 
     def counts(key: str, table: str, where: str, k: int) -> str:
@@ -155,6 +240,21 @@ def oracle_sql() -> dict[str, str]:
         "interval_index_roundtrip": span,
         "in_time": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey BETWEEN 3 AND 9",
         "full_scan": f"SELECT {EVENT} FROM events",
+        "in_time_text": "SELECT * FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN split_part(o_orderpriority, '-', 1) ELSE 'none' END AS code FROM orders) WHERE TRY_CAST(code AS BIGINT) BETWEEN 2 AND 4",
+        "interval_index_open_ends": f"SELECT * FROM (SELECT l_orderkey, l_linenumber, {digits('st')} AS st, CASE l_orderkey % 50 WHEN 0 THEN 99999999999999 WHEN 1 THEN {digits('ed')} + 99 ELSE {digits('ed')} END AS ed "
+        f"FROM {INTERVALS}) WHERE st < {SPAN[1]} AND ed >= {SPAN[0]}",
+        "index_lifecycle": "SELECT * FROM (VALUES ('start', 0, false, true), ('created', 3, true, false), ('level True', 3, true, false), ('dropped by name', 2, true, false), ('dropped by columns', 1, true, false), "
+        "('tried False True False', 0, false, true), ('dropped', 0, false, true), ('cleared', 0, false, true)) AS t(step, n, has_a, empty)",
+        "points_from_text": f"WITH w AS (SELECT {digits('ts')} AS time, user_id::INT AS attr1, event_id::INT AS attr2, ((user_id * 7) % 101 - 50)::INT AS attr3, 1 AS attr4, NULL::INT AS attr5 FROM events WHERE {window}) "
+        "SELECT * FROM w WHERE attr3 = (SELECT min(attr3) FROM w)",
+        "intervals_from_text": f"SELECT l_orderkey::VARCHAR AS name, {digits('st')} AS event_time_st, {digits('ed')} AS event_time_ed, l_linenumber::INT AS free, 3 AS location FROM ({span})",
+        "sql_range": found,
+        "sql_max": f"{w} value = (SELECT max(value) FROM w)",
+        "sql_topk": counts("user_id", "events", slot, 10),
+        "sql_at": f"SELECT * FROM {INTERVALS} WHERE st < {_at(AT)} + INTERVAL 1 SECOND AND ed >= {_at(AT)}",
+        "sql_interval": span,
+        "window_mean_tiny": f"WITH w AS (SELECT event_id, ts, value * 1e-12::DOUBLE AS tiny FROM events WHERE {window}) SELECT * FROM w WHERE tiny >= (SELECT favg(tiny) FROM w)",
+        "window_mean_wide": f"WITH w AS (SELECT event_id, ts, value * CASE WHEN event_id % 2 = 0 THEN 1e30::DOUBLE ELSE 1e-6::DOUBLE END AS wide FROM events WHERE {window}) SELECT * FROM w WHERE wide >= (SELECT favg(wide) FROM w)",
         "window_max": f"{w} value = (SELECT max(value) FROM w)",
         "window_min": f"{w} value = (SELECT min(value) FROM w)",
         "window_mean_int": f"{w} user_id >= (SELECT sum(user_id) // count(user_id) FROM w)",

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
+from pyspark import SparkConf, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolith.functions.encoding import Instant
+from chronolith.functions.encoding import Instant, is_calendar
 from chronolith.operators import search, topk, window_ops
 from chronolith.sources import layout
 from chronolith.sources.registry import IndexInfo, IndexRegistry, IndexType
@@ -20,14 +20,35 @@ class Engine:
         self.spark, self.indexes = spark, IndexRegistry(spark)
 
     @classmethod
-    def get_or_create(cls, master: str | None = None, app_name: str | None = None, **config: object) -> Engine:
-        """The active session, or the default one, or a new one; options as ``spark__sql__x=...``."""
+    def get_or_create(cls, master: str | None = None, app_name: str | None = None, conf: SparkConf | None = None, hive: bool = False, **config: object) -> Engine:
+        """The active session, or the default one, or a new one; options as ``spark__sql__x=...`` or a SparkConf."""
         b = SparkSession.builder
         b = b.master(master) if master else b
         b = b.appName(app_name) if app_name else b
+        b = b.config(conf=conf) if conf else b
         for k, v in config.items():
             b = b.config(k.replace("__", "."), v)
-        return cls(b.getOrCreate())
+        return cls((b.enableHiveSupport() if hive else b).getOrCreate())
+
+    @staticmethod
+    def active() -> SparkSession | None:
+        """The thread's active session."""
+        return SparkSession.getActiveSession()
+
+    def _sessions(self):
+        return self.spark._jvm.org.apache.spark.sql.classic.SparkSession
+
+    def set_active(self) -> None:
+        self._sessions().setActiveSession(self.spark._jsparkSession)
+
+    def clear_active(self) -> None:
+        self._sessions().clearActiveSession()
+
+    def set_default(self) -> None:
+        self._sessions().setDefaultSession(self.spark._jsparkSession)
+
+    def clear_default(self) -> None:
+        self._sessions().clearDefaultSession()
 
     def frame(self, df: DataFrame) -> TemporalFrame:
         return TemporalFrame(self, df)
@@ -72,6 +93,42 @@ class Engine:
             f"RETURN SELECT * FROM {table} WHERE `{t}` BETWEEN s AND e"
         )
 
+    def sql_functions(self, prefix: str, table: str, t: str, ed: str | None = None, value: str | None = None, key: str | None = None) -> list[str]:
+        """Table functions on a table for SQL users, with encoded bounds; their names.
+
+        ``prefix_range(s, e)`` and ``prefix_at(p)`` on the time column; with an end
+        column ``prefix_interval(s, e)``, and ``prefix_at`` finds the intervals that
+        hold an instant; with a value ``prefix_max(s, e)`` and ``prefix_min(s, e)``;
+        with a key ``prefix_topk(s, e, k)``.  On timestamps a bound stands for its
+        whole second, and one that is no calendar instant finds nothing.
+        """
+        schema = self.spark.table(table).schema
+        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+        def bound(c: str, x: str, later: bool = False) -> str:
+            if not is_calendar(schema[c].dataType):
+                return x
+            at = f"CAST(try_to_timestamp(lpad(CAST({x} AS STRING), 14, '0'), 'yyyyMMddHHmmss') AS {schema[c].dataType.simpleString()})"
+            return f"({at} + INTERVAL 1 SECOND)" if later else at
+
+        upto = lambda c, x: f"`{c}` {'<' if is_calendar(schema[c].dataType) else '<='} {bound(c, x, True)}"
+        since = lambda c, x: f"`{c}` >= {bound(c, x)}"
+        window = f"SELECT * FROM {table} WHERE {since(t, 's')} AND {upto(t, 'e')}"
+        bodies = {"range": ("s BIGINT, e BIGINT", cols, window), "at": ("p BIGINT", cols, f"SELECT * FROM {table} WHERE {upto(t, 'p')} AND {since(ed or t, 'p')}")}
+        if ed:
+            meets = f"(s = e AND {since(t, 's')} AND {upto(t, 's')}) OR (s <> e AND `{t}` < {bound(t, 'e')} AND {since(ed, 's')})"
+            bodies["interval"] = ("s BIGINT, e BIGINT", cols, f"SELECT * FROM {table} WHERE {meets}")
+        if value:
+            for f in ("max", "min"):
+                picked = ", ".join(f"w.`{x.name}`" for x in schema)
+                bodies[f] = ("s BIGINT, e BIGINT", cols, f"SELECT {picked} FROM ({window}) w JOIN (SELECT {f}(`{value}`) AS __x FROM ({window})) ON w.`{value}` = __x")
+        if key:
+            counts = f"SELECT `{key}`, count(*) AS n FROM {table} WHERE {since(t, 's')} AND `{t}` < {bound(t, 'e')} AND `{key}` IS NOT NULL GROUP BY 1"
+            bodies["topk"] = ("s BIGINT, e BIGINT, k INT", f"`{key}` {schema[key].dataType.simpleString()}, n BIGINT, rank INT", f"SELECT * FROM (SELECT *, rank() OVER (ORDER BY n DESC) AS rank FROM ({counts})) WHERE rank <= k")
+        for name, (given, out, body) in bodies.items():
+            self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}_{name}({given}) RETURNS TABLE({out}) RETURN {body}")
+        return [f"{prefix}_{name}" for name in bodies]
+
 
 class TemporalFrame:
     def __init__(self, engine: Engine, df: DataFrame):
@@ -90,7 +147,7 @@ class TemporalFrame:
         for info in self.engine.indexes.of(self.df):
             if info.columns[: len(columns)] == columns:
                 if info.manifest:
-                    return layout.prune(info.data, info.manifest, start, end).drop(layout.PERIOD)
+                    return layout.prune(info.data, info.manifest, start, end).drop(layout.PERIOD, layout.SPAN)
                 return info.data
         return self.df
 

@@ -68,7 +68,7 @@ class IndexRegistry:
         with self._lock:
             if self.has(df, name):
                 raise ValueError(f"this source has an index {name!r} already")
-            info = IndexInfo(name, table, list(columns), kind, period, df, layout.in_memory(df, columns, partitions, level), level)
+            info = IndexInfo(name, table, list(columns), kind, period, df, layout.in_memory(df, columns, partitions, level, period), level)
             self._all.append(info)
             return info
 
@@ -141,7 +141,7 @@ class IndexRegistry:
     def load(self, path: str, source: DataFrame | None = None) -> IndexInfo:
         """Registers a written index; without a source, the loaded rows are their own source."""
         data, m = layout.read(self.spark, path)
-        rows = data.drop(layout.PERIOD)
+        rows = data.drop(layout.PERIOD, layout.SPAN)
         with self._lock:
             src = rows if source is None else source
             self.try_drop_by_name(src, m.name)

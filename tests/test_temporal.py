@@ -97,6 +97,67 @@ def test_layouts_change_nothing(spark, spans, start, length, parts):
     assert (ids(plain.interval_find("st", s, e)), ids(plain.range_find("st", s, e)), ids(plain.temporal_find(["st", "ed"], s))) == want
 
 
+def test_open_ends_on_disk(spark):
+    """Open and undecodable ends, and one very long interval, in a written index."""
+    from chronolith.sources import layout
+
+    rows = [("open", 20200101000000, 99999999999999), ("short", 20210301000000, 20210302000000), ("odd", 20210101000000, 20210399000000), ("odd start", 20210199000000, 20210601000000), ("century", 19200101000000, 20210401000000), ("before", 20200101000000, 20200102000000), ("null", None, 20210401000000)]
+    df = spark.createDataFrame(rows, "n string, st bigint, ed bigint")
+    engine, path = Engine(spark), scratch(spark, "open")
+    layout.write(df, path, "i", "steid", ["st", "ed"], "month")
+    for s, e in ((20210301000000, 20210305000000), (20210501000000, 20210502000000), (20200101120000, 20200101120000), (20210399000000, 20210401000000)):
+        want = ids(interval_find(df, "st", "ed", s, e), "n"), ids(temporal_find(df, ["st", "ed"], s), "n")
+        engine.indexes.load(path, df)
+        frame = engine.frame(df)
+        assert (ids(frame.interval_find("st", s, e), "n"), ids(frame.temporal_find(["st", "ed"], s), "n")) == want
+    data, m = layout.read(spark, path)
+    kept = layout.prune(data, m, 20210301000000, 20210305000000)
+    assert kept.filter("n = 'before'").count() == 0 and kept.filter("n = 'century'").count() == 1
+
+
+def test_means(spark):
+    mean = lambda rows: sorted((r["v"] for r in window_mean(spark.createDataFrame([(1, v) for v in rows], "time bigint, v double").repartition(3), "v", "time", 1, 1).collect()), key=str)
+    assert mean([1e-12, 3e-12]) == [3e-12] and mean([1e30, 1.0, None]) == [1e30] and mean([0.1] * 10) == [0.1] * 10 and mean([]) == [] and mean([-2.5, -1.5, -2.0]) == [-1.5, -2.0]
+    assert mean([5e-324, 0.0]) == [5e-324] and mean([1.7e308, 1.7e308]) == [1.7e308] * 2 and mean([1e16, 1.0, -1e16, 1.0]) == [1.0, 1.0, 1e16]
+    assert mean([1.0, float("inf")]) == [float("inf")] and [str(x) for x in mean([1.0, float("nan")])] == ["nan"] and mean([-0.0, 0.0]) in ([-0.0, 0.0], [0.0, -0.0])
+    dec = spark.createDataFrame([(1, 1), (1, 2), (1, 4)], "time bigint, v int").selectExpr("time", "CAST(v AS DECIMAL(30,12)) / 3 AS v")
+    assert window_mean(dec, "v", "time", 1, 1).count() == 1
+
+
+@settings(max_examples=8, deadline=None, phases=[Phase.explicit, Phase.generate])
+@given(st.lists(st.floats(-1e9, 1e9, width=32), min_size=1, max_size=20))
+def test_mean_is_exact(spark, values):
+    from fractions import Fraction
+
+    got = sorted(r["v"] for r in window_mean(spark.createDataFrame([(1, v) for v in values], "time bigint, v double"), "v", "time", 1, 1).collect())
+    assert got == sorted(v for v in values if Fraction(v) * len(values) >= sum(map(Fraction, values)))
+
+
+def test_topk_with_maps(spark):
+    df = points(spark, [(2, 7), (1, 7), (3, 8)]).selectExpr("time", "v", "map('a', time) AS m", "array(map('b', v)) AS n")
+    got = slot_topk(df, "v", "time", 0, 9, 1).collect()
+    assert [(r["time"], r["v"], r["m"]) for r in got] == [(1, 7, {"a": 1})]
+
+
+def test_zones(spark):
+    from datetime import timezone
+
+    df = spark.createDataFrame([(datetime(2024, 1, 1, 12),)], "t timestamp_ntz")
+    two = timezone(timedelta(hours=2))
+    assert temporal_find(df, "t", datetime(2024, 1, 1, 14, tzinfo=two)).count() == 1 and range_find(df, "t", "2024-01-01T14:00:00+02:00", "2024-01-01T14:00:00+02:00").count() == 1
+    assert temporal_find(df, "t", datetime(2024, 1, 1, 14)).count() == 0
+
+
+def test_sessions(spark):
+    from pyspark import SparkConf
+
+    engine = Engine.get_or_create(conf=SparkConf().set("spark.sql.session.timeZone", "UTC"), spark__sql__ansi__enabled=True)
+    engine.clear_active()
+    engine.set_active()
+    engine.set_default()
+    assert Engine.active() is not None
+
+
 def test_registry(spark):
     from pyspark import StorageLevel
 
@@ -139,3 +200,16 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("found").count() == 3
+
+
+def test_stream_topk(spark, tmp_path):
+    from chronolith.streaming.search import slot_counts, slot_topk as ranked
+
+    rows = [(datetime(2024, 1, 1, h, m), k) for h in (0, 1) for m, k in ((1, "a"), (2, "a"), (3, "b"), (4, "b"), (5, "c"))] + [(datetime(2024, 1, 1, 9), "z")]
+    spark.createDataFrame(rows, "t timestamp, k string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("t timestamp, k string").parquet(str(tmp_path / "in"))
+    found = []
+    q = ranked(slot_counts(s, "k", "t", "1 hour", "0 seconds"), "k", 1, lambda batch, n: found.extend(batch.collect())).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r["slot_start"].hour, r["k"], r["n"], r["rank"]) for r in found) == [(0, "a", 2, 1), (0, "b", 2, 1), (1, "a", 2, 1), (1, "b", 2, 1)]
