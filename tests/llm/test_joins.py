@@ -148,6 +148,34 @@ def test_tiling():
         assert (got[0][2], got[0][1], got[0][3]) == (sum(want), len(want), max(want)) if want else not got
 
 
+def test_tiling_repeats():
+    """Few different words, so that runs repeat and overlap, against the plain rule."""
+    r = random.Random(12)
+    for _ in range(80):
+        item = [f"i{r.randrange(3)}" for _ in range(r.randrange(2, 30))]
+        doc = [f"i{r.randrange(4)}" for _ in range(r.randrange(0, 60))]
+        want = plain_tiles(doc, [w for w in item], min(3, len(item)))
+        got = tiling.covered(" ".join(doc), tiling.Index([(1, " ".join(item))], 3))
+        assert [x[1:4] for x in got] == ([(len(want), sum(want), max(want))] if want else [])
+        for coverage in (0.5, 1.0):
+            some = tiling.covered(" ".join(doc), tiling.Index([(1, " ".join(item))], 3), coverage)
+            assert [x for x in some if x[2] >= coverage * x[4]] == [x for x in got if x[2] >= coverage * x[4]]
+
+
+def test_tiling_long():
+    import time
+
+    began = time.perf_counter()
+    r = random.Random(13)
+    long = "same " * 20000
+    assert tiling.covered(long, tiling.Index([(1, long)], 5))[0][1:4] == (1, 20000, 20000)
+    mixed = " ".join(r.choice("ab") for _ in range(20000))
+    assert tiling.covered(mixed, tiling.Index([(1, mixed)], 5), 0.5)[0][2] == 20000
+    shared = tiling.Index([(i, f"a phrase that all items have in them {i} " + " ".join(f"x{i}y{j}" for j in range(20))) for i in range(5000)], 5)
+    assert tiling.covered("here a phrase that all items have in them it is", shared, 0.5) == []
+    assert time.perf_counter() - began < 20
+
+
 def test_tiling_frames(spark, docs, nothing):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, None), (3, ""), (4, "tiny item"), (1, "alpha beta gamma delta epsilon zeta eta theta")], "item_id bigint, text string")
     rows = [(0, "x ZETA eta, theta! y alpha beta gamma delta epsilon"), (1, "alpha beta gamma delta"), (2, None), (3, "a tiny item here"), (3, "a tiny item here")]
@@ -156,6 +184,9 @@ def test_tiling_frames(spark, docs, nothing):
     assert got == [(0, 1, 1.0), (1, 1, 0.5), (3, 4, 1.0), (3, 4, 1.0)]
     assert got == sorted((r["doc_id"], r["item_id"], r["coverage"]) for r in tiling.match(df, items, min_match=3, block_items=1).collect())
     assert [r["doc_id"] for r in tiling.clean(df, items, min_match=3).collect()] == [2]
+    with pytest.raises(TypeError):
+        tiling.match(df, items.selectExpr("string(item_id) AS item_id", "text"))
+    assert got == sorted((r["doc_id"], r["item_id"], r["coverage"]) for r in tiling.match(df, items, min_match=3, block_bytes=8).collect())
     assert tiling.clean(docs, items).count() == docs.count() and tiling.match(nothing, items).count() == 0 and tiling.match(df, nothing.selectExpr("doc_id AS item_id", "text")).count() == 0
 
 
