@@ -57,37 +57,54 @@ def test_sampled_shares():
 
 
 def test_code_lengths():
-    """Against the rule written out for one byte at a time."""
+    """Against the rule written out for one byte at a time; the shares of all bytes sum to one."""
     r = random.Random(1)
-    text = {k: "".join(r.choice(a) for _ in range(400)).encode() for k, a in (("x", "abc "), ("y", "bcd "))}
-    counts = {k: np.unique(language._keys(t), return_counts=True) for k, t in text.items()}
+    text = {k: "".join(r.choice(a) for _ in range(300)).encode() for k, a in (("x", "abc "), ("y", "bcd "))}
+    least = 2
+    counts, plain = {}, {}
+    for lang, t in text.items():
+        plain[lang] = Counter(t[i : i + n] for n in range(1, 6) for i in range(len(t) - n + 1))
+        plain[lang] = {k: v for k, v in plain[lang].items() if len(k) <= 3 or v >= least}
+        own = {}
+        for n in range(1, 6):
+            some = sorted((int.from_bytes(k), v) for k, v in plain[lang].items() if len(k) == n)
+            own[n] = np.array([k for k, _ in some]), np.array([v for _, v in some])
+        counts[lang] = own
     m = language.Model(counts)
 
-    def cost(lang, a, b, c):
-        bits = 0.0
-        for ctx in ((a, b), (b,), ()):
-            n = Counter()
-            for k, v in zip(*counts[lang]):
-                key = (int(k) >> 16, (int(k) >> 8) & 255, int(k) & 255)
-                if key[2 - len(ctx) : 2] == ctx:
-                    n[key[2]] += int(v)
+    def cost(lang, before, c):
+        bits, gone, begun = 0.0, set(), False
+        for j in range(min(4, len(before)), -1, -1):
+            ctx = before[len(before) - j :]
+            n = {k[-1]: v for k, v in plain[lang].items() if len(k) == j + 1 and k[:-1] == ctx}
             if not n:
                 continue
-            if c in n:
-                return bits - math.log2(n[c] / (sum(n.values()) + len(n)))
-            bits -= math.log2(len(n) / (sum(n.values()) + len(n)))
-        return bits + math.log2(m.size)
-
-    probe = b"abd cb"
-    got = m.bits([probe, b"", probe * 3])
-    padded = b"\0\0" + probe
-    for i, lang in enumerate(m.langs):
-        want = sum(cost(lang, padded[j], padded[j + 1], padded[j + 2]) for j in range(len(probe)))
-        assert got[0, i] == pytest.approx(want, rel=1e-4)
-    assert (got[1] == 0).all()
-    language.CHUNK, old = 7, language.CHUNK
-    assert np.allclose(m.bits([probe, b"", probe * 3]), got, rtol=1e-5)
-    language.CHUNK = old
+            left = {s: v for s, v in n.items() if s not in gone}
+            gone |= n.keys()
+            if not left:
+                continue
+            whole = sum(left.values()) + len(left)
+            if c in left:
+                return bits - math.log2(left[c] / whole)
+            bits -= math.log2(len(left) / whole)
+        return bits + math.log2(256 - len(gone))
+
+    probe = b"abd cbabcz\xc3 bcdb"
+    want = [sum(cost(lang, probe[:i], probe[i]) for i in range(len(probe))) for lang in m.langs]
+    again = probe * 3
+    want3 = [sum(cost(lang, again[:i], again[i]) for i in range(len(again))) for lang in m.langs]
+    for chunk in (1 << 19, 7, 1):
+        language.CHUNK, old = chunk, language.CHUNK
+        got = m.bits([probe, b"", again])
+        language.CHUNK = old
+        assert got[0] == pytest.approx(want, rel=1e-5) and got[2] == pytest.approx(want3, rel=1e-5) and (got[1] == 0).all()
+    for lang in m.langs:
+        for before in (b"", b"a", b"bc", b"bcd ", b"zz"):
+            assert sum(2 ** -cost(lang, before, c) for c in range(256)) == pytest.approx(1)
+
+
+def test_letters():
+    assert language.has_letter("½ a") and language.has_letter("漢") and not language.has_letter("½ ² 12 _ -") and not language.has_letter("")
 
 
 def test_languages(spark, docs, nothing):
@@ -95,6 +112,11 @@ def test_languages(spark, docs, nothing):
     model = language.fit(df.filter("crc32(string(doc_id)) % 5 != 0"))
     got = language.predict(df.filter("crc32(string(doc_id)) % 5 = 0"), model).join(df, "doc_id").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got) and all(0 <= r["score"] <= 1 for r in got)
+    by = {r["lang"]: r["text"] for r in got if r["text"] and r["lang"] and len(r["text"]) > 400}
+    (a, b), probe = sorted(by)[:2], lambda t: language.predict(spark.createDataFrame([(1, t)], "doc_id bigint, text string"), model).first()["score"]
+    assert probe(by[a][:200] + by[b][:200]) < min(probe(by[a]), probe(by[b]))
+    with pytest.raises(TypeError):
+        language.predict(df.selectExpr("string(doc_id) AS doc_id", "text"), model)
     odd = {r["doc_id"]: r for r in language.predict(docs, model).collect()}
     assert odd[900]["lang_pred"] == odd[901]["lang_pred"] == odd[902]["lang_pred"] == "und" and odd[905]["lang_pred"] in model.langs
     none = language.fit(nothing)
