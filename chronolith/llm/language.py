@@ -10,8 +10,10 @@ a place sum to one.  Strings longer than ``sure`` bytes enter the trees if seen
 ``least_seen`` times.  The language of the shortest total code wins.
 
 The trees of all languages share one sorted list of strings for each length; a
-string's row has the counts of each language.  Texts are looked up as a whole,
-some at a time, and cost five look-ups a byte whatever the number of languages.
+string's row has the counts of each language.  As the trees are frozen, the cost
+of the last byte of each longest string is computed once for all languages; the
+places of a text that hold such a string cost one look-up, and only the others
+walk the trees.
 
 ``score`` is the share of the winner under the code lengths of an average
 stretch of ``STRETCH`` bytes (of the text, if it is shorter): near 1 where any
@@ -121,6 +123,8 @@ class Model:
             self.whole_after.append(lined(log(t + d), 0))
             self.escape_after.append(lined(np.where(d > 0, log(t + d) - log(d), 0), 0))
         self.rest = np.log2(np.maximum(256 - distinct[0][0], 1))
+        longest = self.keys[order + 1]
+        self.ready = lined(self._walk(longest, np.full(len(longest), order)), 0)
 
     def _find(self, length: int, own: np.ndarray) -> np.ndarray:
         keys = self.keys[length]
@@ -131,31 +135,42 @@ class Model:
 
     def costs(self, b: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Bits of each byte in each language; ``place`` is a byte's place in its text."""
-        n, k = len(b), self.count[1].shape[1]
-        rows = [np.zeros(n + 1, dtype=np.int64)]  # row of the string of each length that ends before each place
-        for length in range(1, self.order + 2):
-            own = np.full(n + 1, -1)
-            own[length:] = self._find(length, strings(b, length))
-            own[1:][place < length - 1] = -1
-            rows.append(own)
+        key = b.copy()  # of the string of ``order + 1`` bytes that ends here
+        for i in range(1, self.order + 1):
+            key[i:] |= b[:-i] << (8 * i)
+        row = self._find(self.order + 1, key)
+        row[place < self.order] = -1
+        out = self.ready[row]
+        other = np.flatnonzero(row < 0)
+        out[other] = self._walk(key[other], place[other])
+        return out
+
+    def _walk(self, key: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each string, down the trees."""
+        n, k = len(key), self.count[1].shape[1]
         cost = np.zeros((n, k), dtype=np.float32)
         done, begun = np.zeros((n, k), dtype=bool), np.zeros((n, k), dtype=bool)
+
+        def rows(length: int, own: np.ndarray) -> np.ndarray:
+            at = self._find(length, own & ((1 << 8 * length) - 1))
+            at[place < length - (own is key)] = -1
+            return at
+
+        before, longer = key >> 8, None
         for j in range(self.order, -1, -1):
-            at = rows[j][:-1].copy()
-            at[place < j] = -1
+            at = rows(j, before)
             known = self.known[j][at]
             whole, escape = self.whole[j][at], self.escape[j][at]
-            if j < self.order:
-                longer = rows[j + 1][:-1].copy()
-                longer[place < j + 1] = -1
+            if longer is not None:
                 whole = np.where(begun, self.whole_after[j + 1][longer], whole)
                 escape = np.where(begun, self.escape_after[j + 1][longer], escape)
-            got = self.count[j + 1][rows[j + 1][1:]]
+            got = self.count[j + 1][rows(j + 1, key)]
             hit = known & ~done & ~np.isnan(got)
             cost += np.where(hit, whole - got, np.where(known & ~done, escape, 0))
             done |= hit
             begun |= known
-        return np.where(done, cost, cost + self.rest)
+            longer = at
+        return np.where(done, cost, cost + self.rest).astype(np.float32)
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text in each language."""
