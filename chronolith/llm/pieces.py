@@ -14,7 +14,13 @@ flattens the weights.
 
 Nothing is normalised: a space becomes the space mark, and each other character
 without a piece, the mark itself included, is spelled in byte pieces.  Decoding
-thus gives back every text.  Null text gives null pieces, empty text none.
+thus gives back every text.
+
+Rules: null text gives null pieces, empty text none.  Rows that are equal in key
+and text get equal pieces; draws leave no ties.  Texts of any length are
+segmented whole, chunk by chunk.  An empty table gives none.  Keys are whole
+numbers, null counts as 0.  Columns named ``pieces``, ``lossless`` or ``decoded``
+are replaced; others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronolith.llm.store import small_batches
+from chronolith.llm.store import small_batches, whole_id
 
 #: Where the public model lies; a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -73,8 +79,9 @@ class Pieces:
             self.raw[i] = names[i].replace(MARK, " ").encode()
         if (self.byte_id < 0).any():
             raise ValueError("lossless decoding needs a model with all byte pieces")
-        # Pieces that hold a space after another character, or a line break, could cross a cut: they are left out.
-        own = [i for i in plain if names[i] and not re.search(f"[^{MARK}]{MARK}|[\n ]", names[i])]
+        own = [i for i in plain if names[i]]
+        if any(re.search(f"[^{MARK}]{MARK}|[\n ]", names[i]) for i in own):
+            raise ValueError("the model has pieces that hold a space after another character, or a line break: they could cross a cut")
         by: dict[int, list[int]] = {}
         for i in own:
             by.setdefault(len(names[i]), []).append(i)
@@ -277,7 +284,7 @@ def encode(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", model
     """
     shared = _shared(df, model)
     names = [c for c in df.columns if c not in ("pieces", "lossless")]
-    own = df.select(*[df[c] for c in names], df[key_col].cast("bigint").alias("__key"), df[text_col].alias("__text"))
+    own = df.select(*[df[c] for c in names], whole_id(df, key_col).alias("__key"), df[text_col].alias("__text"))
     schema = own.drop("__key", "__text").schema.add("pieces", T.ArrayType(T.IntegerType())).add("lossless", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
