@@ -33,7 +33,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.llm.store import ascii_lower, bind, released, saved, scratch
+from chronolith.llm.store import ascii_lower, bind, dropped, released, saved, scratch
 
 #: Fixed value: white space inside a line.
 INNER_SPACE = "[\\x20\\x09\\x0B-\\x0D]+"
@@ -114,15 +114,17 @@ def one_edit(a: Column, b: Column) -> Column:
 
 
 def _near(lines: DataFrame, firsts: DataFrame, held: DataFrame) -> DataFrame:
-    """Distinct lines of which an earlier line is one edit away: (at), where each stands first."""
+    """Distinct lines of which an earlier line is one edit away: (first, near), where each stands first."""
     keys = lines.filter(F.col("halves").isNotNull()).select("h1", F.explode("halves").alias("half"))
     shared = keys.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low != high").select("half")
     some = keys.join(shared, "half", "left_semi").select("h1").distinct()
     spots = firsts.join(some, "h1", "left_semi").groupBy(F.col("at.row").alias("__row")).agg(F.collect_set("at.pos").alias("spots"))
     picked = bind(_normal_lines(F.col("__text")), lambda x: F.transform(F.col("spots"), lambda p: F.struct(p.alias("pos"), F.get(x, p).alias("line"))))
-    own = held.select("__id", "__row", "__text").join(saved(spots, "line_spots"), "__row")
+    spots = saved(spots, "line_spots")
+    own = held.select("__id", "__row", "__text").join(spots, "__row")
     words = own.select(F.col("__id").alias("doc_id"), F.col("__row").alias("row"), F.inline(picked)).select(F.struct("doc_id", "row", "pos").alias("at"), F.split("line", " ").alias("words"))
     words = saved(words.dropDuplicates(["at"]), "line_words")
+    dropped(spots)
     variants = saved(_variants(words), "line_variants")
     # Keys of one line alone pair with nothing: few are left to join.
     mates = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"first{r}") for r in (0, 1, 2)]).filter("n > 1")
@@ -130,7 +132,10 @@ def _near(lines: DataFrame, firsts: DataFrame, held: DataFrame) -> DataFrame:
     mate = F.when(F.col("role") == 0, F.col("first0")).when(F.col("role") == 1, F.col("first2")).otherwise(F.col("first1"))
     pairs = variants.join(mates, "key").select("at", mate.alias("mate")).filter(F.col("mate") < F.col("at")).distinct()
     other = words.select(F.col("at").alias("mate"), F.col("words").alias("mate_words"))
-    return pairs.join(words, "at").join(other, "mate").filter(one_edit(F.col("words"), F.col("mate_words"))).select("at").distinct()
+    found = pairs.join(words, "at").join(other, "mate").filter(one_edit(F.col("words"), F.col("mate_words"))).select(F.col("at").alias("first")).distinct()
+    near = saved(found.withColumn("near", F.lit(True)), "line_near")
+    dropped(words, variants, mates)
+    return near
 
 
 def _bucketed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -149,10 +154,12 @@ def copies(held: DataFrame, min_words: int, near_words: int) -> DataFrame:
     """(__row, gone): the places of the lines that are copies, for rows that have any."""
     lines = saved(lines_of(held, min_words, near_words), "lines")
     firsts = saved(lines.groupBy("h1", "h2").agg(F.min("at").alias("at")), "line_firsts")
-    near = saved(_near(lines, firsts, held).select(F.col("at").alias("first"), F.lit(True).alias("near")), "line_near")
+    near = _near(lines, firsts, held)
     marked = firsts.withColumnRenamed("at", "first").join(near, "first", "left")
     own = lines.select("at", "h1", "h2").join(marked, ["h1", "h2"]).filter(F.col("near").isNotNull() | (F.col("at") != F.col("first")))
-    return saved(own.groupBy(F.col("at.row").alias("__row")).agg(F.collect_set("at.pos").alias("gone")), "line_gone")
+    gone = saved(own.groupBy(F.col("at.row").alias("__row")).agg(F.collect_set("at.pos").alias("gone")), "line_gone")
+    dropped(lines, firsts, near)
+    return gone
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, near_words: int = 10) -> DataFrame:
