@@ -45,10 +45,17 @@ ANY_LENGTH = {"min_words": 1, "near_words": 5}
 MODULUS = 1 << 20
 
 
-def _normal_lines(text: Column) -> Column:
-    """The lines, lower case, with one space between words.  The text is put in order once, then cut."""
-    apart = F.when(F.length(text) == F.octet_length(text), text).otherwise(F.regexp_replace(text, UNSPACED, " $0 "))
-    return F.transform(F.split(F.regexp_replace(ascii_lower(apart), INNER_SPACE, " "), "\n", -1), lambda x: F.btrim(x, F.lit(" ")))
+def _in_order(each: DataFrame) -> DataFrame:
+    """``line`` as ``norm``: lower case, one space between words.  Lines that need a step less are spared it."""
+    line, apart = F.col("line"), F.col("apart")
+    plain = F.length(line) == F.octet_length(line)
+    each = each.withColumn("apart", F.when(plain, line).otherwise(F.regexp_replace(line, UNSPACED, " $0 ")))
+    uneven = F.contains(apart, F.lit("  "))
+    for space in ("\t", "\x0b", "\x0c", "\r"):
+        uneven = uneven | F.contains(apart, F.lit(space))
+    each = each.withColumn("lower", F.when(F.length(apart) == F.octet_length(apart), F.lower(apart)).otherwise(ascii_lower(apart)))
+    norm = F.btrim(F.when(uneven, F.regexp_replace("lower", INNER_SPACE, " ")).otherwise(F.col("lower")), F.lit(" "))
+    return each.withColumn("norm", norm).drop("line", "apart", "lower")
 
 
 def _halves(norm: Column, m: Column) -> Column:
@@ -65,10 +72,13 @@ def _halves(norm: Column, m: Column) -> Column:
 
 def lines_of(held: DataFrame, min_words: int, near_words: int) -> DataFrame:
     """Every line of enough words: where it stands, its hashes, and the keys of its halves."""
-    each = held.select(F.col("__id").alias("doc_id"), F.col("__row").alias("row"), F.posexplode(_normal_lines(F.col("__text"))).alias("pos", "norm"))
-    m = F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) + 1
-    long = each.filter((F.col("norm") != "") & (m >= min_words))
-    halves = F.when(m >= near_words, _halves(F.col("norm"), m))
+    each = held.select(F.col("__id").alias("doc_id"), F.col("__row").alias("row"), F.posexplode(F.split("__text", "\n", -1)).alias("pos", "line"))
+    # Blank lines go by a test of the raw line, else the filter would put each line in order once more.
+    long = each.filter(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
+    long = _in_order(long).withColumn("m", F.octet_length("norm") - F.octet_length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) + 1)
+    if min_words > 1:
+        long = long.filter(F.col("m") >= min_words)
+    halves = F.when(F.col("m") >= near_words, _halves(F.col("norm"), F.col("m")))
     return long.select(F.struct("doc_id", "row", "pos").alias("at"), F.xxhash64("norm").alias("h1"), F.crc32("norm").alias("h2"), halves.alias("halves"))
 
 
@@ -119,10 +129,11 @@ def _near(lines: DataFrame, firsts: DataFrame, held: DataFrame) -> DataFrame:
     shared = keys.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low != high").select("half")
     some = keys.join(shared, "half", "left_semi").select("h1").distinct()
     spots = firsts.join(some, "h1", "left_semi").groupBy(F.col("at.row").alias("__row")).agg(F.collect_set("at.pos").alias("spots"))
-    picked = bind(_normal_lines(F.col("__text")), lambda x: F.transform(F.col("spots"), lambda p: F.struct(p.alias("pos"), F.get(x, p).alias("line"))))
+    picked = bind(F.split("__text", "\n", -1), lambda x: F.transform(F.col("spots"), lambda p: F.struct(p.alias("pos"), F.get(x, p).alias("line"))))
     spots = saved(spots, "line_spots")
     own = held.select("__id", "__row", "__text").join(spots, "__row")
-    words = own.select(F.col("__id").alias("doc_id"), F.col("__row").alias("row"), F.inline(picked)).select(F.struct("doc_id", "row", "pos").alias("at"), F.split("line", " ").alias("words"))
+    own = own.select(F.col("__id").alias("doc_id"), F.col("__row").alias("row"), F.inline(picked))
+    words = _in_order(own).select(F.struct("doc_id", "row", "pos").alias("at"), F.split("norm", " ").alias("words"))
     words = saved(words.dropDuplicates(["at"]), "line_words")
     dropped(spots)
     variants = saved(_variants(words), "line_variants")
