@@ -15,8 +15,9 @@ one case are decoys of all other runs.  For each class of length, over all
 documents, the cutoff is the lowest score at which decoys above it are at most
 ``fdr`` times the targets above it, and never below ``alpha``.  The one-case runs
 are targets too, scored in 26 letters, in classes of their own.  The decoys of
-these are words of the documents put together, one run a document; the share of
-them above a score stands for the share of false targets.
+these are the words of the documents, all of each document's put together in
+runs one after the other; the share of them above a score stands for the share
+of false targets.
 
 Rules: null text counts as empty and has no spans.  Rows, repeated ones too, are
 independent but for the cutoffs, a table of length classes and score steps of
@@ -67,7 +68,7 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_-]+")
 PARTS = (re.compile(r"[A-Za-z0-9+/]+"), re.compile(r"[A-Za-z0-9_-]+"), re.compile(r"[A-Za-z0-9]+"))
 LENGTH_CLASSES = (20, 24, 32, 48, 64, 128)
 STEPS = 200
-#: Length classes of one-case letters, as targets, begin here; their decoys are shorter than LONGEST_DECOY.
+#: Length classes of one-case letters, as targets, begin here; their decoys are shorter than LONGEST_DECOY, but for a last one that takes a short rest.
 LETTERS, LONGEST_DECOY = 100, 192
 
 SCHEMA = (
@@ -178,14 +179,19 @@ def _scored(token: str, cls: int, alphabets=ALPHABETS) -> tuple[str, int, float]
 
 
 def word_decoys(text: str, min_length: int) -> list[tuple[int, int, str, int, float, bool]]:
-    """A run of letters made of the text's first words, of a length that the text's hash picks."""
-    joined = "".join(w for w in text[:4096].split() if len(w) < min_length and w.isascii() and w.isalpha()).lower()
-    h = xxhash.xxh3_64_intdigest(text)
-    cls, ends = h % len(LENGTH_CLASSES), (*LENGTH_CLASSES[1:], LONGEST_DECOY)
-    n = max(min_length, LENGTH_CLASSES[cls] + h // 8 % (ends[cls] - LENGTH_CLASSES[cls]))
-    if len(joined) < n:
+    """Runs of letters made of all the text's words in order, of lengths that the text's hash picks."""
+    joined = "".join(w for w in text.split() if len(w) < min_length and w.isascii() and w.isalpha()).lower()
+    if len(joined) < min_length:
         return []
-    return [(0, 0, *_scored(joined[:n], LETTERS + sum(n >= x for x in LENGTH_CLASSES), BASE26), True)]
+    out, at, h = [], 0, xxhash.xxh3_64_intdigest(text)
+    while at < len(joined):
+        cls, ends = h % len(LENGTH_CLASSES), (*LENGTH_CLASSES[1:], LONGEST_DECOY)
+        n = max(min_length, LENGTH_CLASSES[cls] + h // 8 % (ends[cls] - LENGTH_CLASSES[cls]))
+        if len(joined) - at - n < min_length:  # a rest too short for a run of its own
+            n = len(joined) - at
+        out.append((0, 0, *_scored(joined[at : at + n], LETTERS + sum(n >= x for x in LENGTH_CLASSES), BASE26), True))
+        at, h = at + n, xxhash.xxh3_64_intdigest(h.to_bytes(8, "little"))
+    return out
 
 
 def examine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 20) -> DataFrame:

@@ -220,6 +220,19 @@ def test_secret_letters_and_paths(spark):
     assert not any(got[i] for i in range(600))
 
 
+def test_secret_decoys_hold_all_words(monkeypatch):
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 9))) for _ in range(3000)]
+    seen = []
+    monkeypatch.setattr(secrets, "_scored", lambda token, cls, alphabets: seen.append(token) or ("", cls, 0.0))
+    for text in (" ".join(words), "1234 " * 1000 + " ".join(words[:9]), "ab " * 10, "ab " * 9):
+        seen.clear()
+        got = secrets.word_decoys(text, 20)
+        joined = "".join(w for w in text.split() if w.isalpha())
+        assert "".join(seen) == joined * (len(joined) >= 20) and all(len(t) >= 20 for t in seen)
+        assert [x[3] for x in got] == [secrets.LETTERS + sum(len(t) >= x for x in secrets.LENGTH_CLASSES) for t in seen] and all(x[5] for x in got)
+
+
 def test_randomness():
     r = random.Random(4)
     p = [secrets.randomness("".join(r.choice("0123456789abcdef") for _ in range(64)))[1] for _ in range(400)]
