@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +41,7 @@ from chronolith.llm.store import small_batches, whole_id
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 CHUNK = re.compile(r" *[^ \n]+|\n| +")
-BATCH = 1 << 20  # characters segmented at once
+BATCH = 1 << 19  # characters segmented at once
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -158,8 +159,9 @@ class Lattices:
         order = np.argsort(end, kind="stable")
         self.edge_start, end, self.edge_id = start[order], end[order], np.concatenate(ids)[order]
         weight = np.concatenate(weights)[order]
+        del points, h, at, left, node, chunk, starts, ends, ids, weights, start, order  # as large as what stays
         # Forward: all chunks at once, by distance of the end from the chunk's start.
-        nodes = len(points) + len(chunks)
+        nodes = int(lengths.sum()) + len(chunks)
         head = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
         size = np.diff(np.concatenate([head, [len(end)]]))
         group_node = end[head]
@@ -269,6 +271,18 @@ class Sampler:
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def _parts(b: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The rows in parts of at most ``BATCH`` bytes of text, a longer text by itself: only one part is held decoded."""
+    first = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist()):
+        if i > first and size + n > BATCH:
+            yield b.slice(first, i - first)
+            first, size = i, 0
+        size += n
+    if b.num_rows:
+        yield b.slice(first)
+
+
 def _shared(df: DataFrame, model: str):
     """The model file's bytes, some hundred kilobytes, read where the driver or the shared store has it."""
     spark = df.sparkSession
@@ -284,14 +298,16 @@ def encode(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", model
     """
     shared = _shared(df, model)
     names = [c for c in df.columns if c not in ("pieces", "lossless")]
-    own = df.select(*[df[c] for c in names], whole_id(df, key_col).alias("__key"), df[text_col].alias("__text"))
+    apart = [] if text_col in names else [df[text_col].alias("__text")]  # else it would move twice
+    at = len(names) + 1 if apart else names.index(text_col)
+    own = df.select(*[df[c] for c in names], whole_id(df, key_col).alias("__key"), *apart)
     schema = own.drop("__key", "__text").schema.add("pieces", T.ArrayType(T.IntegerType())).add("lossless", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Pieces(shared.value, alpha)
         sampler = Sampler(v, seed)
-        for b in batches:
-            texts = b.column(len(names) + 1).to_pylist()
+        for b in (part for whole in batches for part in _parts(whole, at)):
+            texts = b.column(at).to_pylist()
             ids = sampler.encode([t or "" for t in texts], [k or 0 for k in b.column(len(names)).to_pylist()])
             ok = [None if t is None else v.decode(x.tolist()) == t for t, x in zip(texts, ids, strict=True)] if check else [None] * len(ids)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)

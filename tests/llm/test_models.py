@@ -2,9 +2,11 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from chronolith.llm import language, pieces
@@ -103,6 +105,26 @@ def test_code_lengths():
             assert sum(2 ** -cost(lang, before, c) for c in range(256)) == pytest.approx(1)
 
 
+def test_pieces_memory():
+    """What texts hold at once while they are segmented stays small, however many meet in a batch."""
+    r = random.Random(6)
+    texts = [" ".join("".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(1 << 11)) for _ in range(64)]
+    tracemalloc.start()
+    got = pieces.Sampler(VOCABULARY).encode(texts, list(range(64)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 160 << 20 and all(VOCABULARY.decode(x) == t for x, t in zip(got, texts, strict=True))
+
+
+def test_pieces_parts(spark):
+    texts = ["a" * 9, None, "", "é" * pieces.BATCH, "b" * (pieces.BATCH - 1), "c", "d"]
+    b = pa.record_batch([pa.array(range(7)), pa.array(texts)], names=["k", "t"])
+    assert [p.column(0).to_pylist() for p in pieces._parts(b, 1)] == [[0, 1, 2], [3], [4, 5], [6]] and not list(pieces._parts(b.slice(7), 1))
+    df = spark.createDataFrame([(1, "x y"), (2, None)], "doc_id bigint, pieces string")
+    got = pieces.encode(df, text_col="pieces").orderBy("doc_id").collect()
+    assert VOCABULARY.decode(got[0]["pieces"]) == "x y" and got[1]["pieces"] is None and got[0]["lossless"]
+
+
 def test_letters():
     assert language.has_letter("½ a") and language.has_letter("漢") and not language.has_letter("½ ² 12 _ -") and not language.has_letter("")
 
