@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm import language, licenses, lines, maintext, ngramjoin, pieces, quality, secrets, sharding, tiling
@@ -25,7 +25,11 @@ def op2_sharding(spark: SparkSession, d: str) -> DataFrame:
 
 def op3_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     found = secrets.scan(table(spark, d, "documents").select("doc_id", "text"))
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+
+    def count(k: int) -> Column:  # k from outside the lambda: a second parameter would get the element's place
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
+
+    n = [count(k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
     return found.select("doc_id", *n, F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
 
 
