@@ -1,5 +1,6 @@
 """Quality rules, line copies and licences against plain Python, odd rows included."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -158,6 +159,38 @@ def test_lines_any_length(spark, docs, monkeypatch):
     assert got == deduped(pairs.items(), 1, 5)
 
 
+def test_line_gaps(spark, monkeypatch):
+    """Lines that share one half leave out words of the other half only."""
+    made = {}
+    keep = lines.saved
+    monkeypatch.setattr(lines, "saved", lambda df, name: made.setdefault(name, keep(df, name)))
+    monkeypatch.setattr(lines, "dropped", lambda *_: None)
+    base = [f"w{i}" for i in range(20)]
+    df = spark.createDataFrame([(0, " ".join(base)), (1, " ".join(base[:-1] + ["other"]))], "doc_id bigint, text string")
+    assert sorted(r["lines_removed"] for r in lines.dedup(df, **lines.ANY_LENGTH).collect()) == [0, 1]
+    n = Counter(r["role"] for r in made["line_variants"].collect())
+    assert n == {0: 2 * 11, 1: 2 * 11, 2: 2}
+
+
+def test_line_gaps_lose_nothing(spark):
+    """Lines of all lengths from few words, so that edits can be placed in several ways, with capitals, accents and odd spaces."""
+    r = random.Random(5)
+    made = []
+    for _ in range(400):
+        w = list(r.choice(made)) if made and r.random() < 0.6 else [r.choice("aBcÉé") for _ in range(r.randrange(1, 14))]
+        for _ in range(r.randrange(3)):
+            i = r.randrange(len(w))
+            w[i : i + r.randrange(2)] = r.choice([[], ["a"], ["É"], ["z9"]])
+            w = w or ["a"]
+        made.append(w)
+    spaced = lambda w: r.choice(["", "", " ", "\t"]) + "".join(x + r.choice([" "] * 9 + ["  ", "\t", "\r", "\x0b"]) for x in w)
+    rows = [(i, "\n".join(spaced(w) for w in made[i * 4 : i * 4 + 4])) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for least, near_from in ((1, 5), (1, 2)):
+        got = {x["doc_id"]: (x["text"], x["lines_removed"]) for x in lines.dedup(df, min_words=least, near_words=near_from).collect()}
+        assert got == deduped(rows, least, near_from)
+
+
 def test_licenses(spark):
     rows = [
         (0, "Foo\nReleased under the MIT License.\nbar"),
